@@ -5,15 +5,406 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from areal.operators import area_models, bhf, compare, direct, fh, prep, spatial, stepwise, weights
+from areal.operators.benchmark import benchmark
+from areal.plans import sql
+from areal.sources import tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle:
+            SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, **digits: int) -> DataFrame:
+    return df.select(*[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns])
+
+
+def _estimates(fit: fh.FayHerriot) -> DataFrame:
+    return rounded(fit.estimates.select("domain", "eblup", "random_effect", "mse", "rse"), eblup=5, random_effect=5, mse=4, rse=4)
+
+
+def _unsampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.area_lag(spark, sf_dir).withColumn("y", F.when(F.col("domain") % 5 != 0, F.col("y")))
+
+
+def _lag_fit(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, fh.FayHerriot]:
+    area = tables.area_lag(spark, sf_dir)
+    return area, fh.fit(area, "y", "vardir", ["x"])
+
+
+def _with_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    area, fit = _lag_fit(spark, sf_dir)
+    return fit.estimates.join(area.select("domain", "region", "n"), "domain")
+
+
+@query(f"with {sql.AREA_LAG} select domain, n, round(y, 6) as y, round(vardir, 6) as vardir, round(x, 6) as x from area")
+def direct_mean_nation(spark, sf_dir):
+    return rounded(tables.area_lag(spark, sf_dir).select("domain", "n", "y", "vardir", "x"), y=6, vardir=6, x=6)
+
+
+@query(f"with {sql.SHARE} select domain, n, round(y, 8) as y, round(vardir, 10) as vardir from prop")
+def direct_prop_nation(spark, sf_dir):
+    return rounded(tables.area_share(spark, sf_dir).select("domain", "n", "y", "vardir"), y=8, vardir=10)
+
+
+@query(sql.LAG_FH + "select round(s2, 4) as sigma2_u, n_iter from fin")
+def fh_sigma2(spark, sf_dir):
+    fit = _lag_fit(spark, sf_dir)[1]
+    return spark.createDataFrame([(round(float(fit.sigma2_u), 4), fit.n_iter)], "sigma2_u double, n_iter int")
+
+
+@query(sql.LAG_FH + "select '(intercept)' as term, round(my + b0 - b1 * mx, 4) as beta, round(sqrt(q00 - 2*mx*q01 + mx*mx*q11), 4) as std_error from co, mid union all select 'x', round(b1, 4), round(sqrt(q11), 4) from co")
+def fh_coef(spark, sf_dir):
+    fit = _lag_fit(spark, sf_dir)[1]
+    return spark.createDataFrame([(c["term"], round(c["beta"], 4), round(c["std_error"], 4)) for c in fit.coef], "term string, beta double, std_error double")
+
+
+@query(sql.LAG_FH + sql.ESTIMATE)
+def fh_eblup(spark, sf_dir):
+    return _estimates(_lag_fit(spark, sf_dir)[1])
+
+
+@query(sql.fay_herriot(sql.AREA_LAG, "ML") + sql.ESTIMATE)
+def fh_ml_eblup(spark, sf_dir):
+    return _estimates(fh.fit(tables.area_lag(spark, sf_dir), "y", "vardir", ["x"], method="ML"))
+
+
+@query(sql.fay_herriot(sql.AREA_LAG.replace("area as", "full_area as") + "," + sql.UNSAMPLED) + sql.ESTIMATE)
+def fh_unsampled(spark, sf_dir):
+    return _estimates(fh.fit(_unsampled(spark, sf_dir), "y", "vardir", ["x"]))
+
+
+@query(sql.fay_herriot(sql.planted(1.5)) + sql.ESTIMATE)
+def fh_planted(spark, sf_dir):
+    return _estimates(fh.fit(tables.area_planted(spark, sf_dir), "y", "vardir", ["x"]))
+
+
+@query(sql.fay_herriot(sql.planted(0.0)) + sql.ESTIMATE)
+def fh_boundary(spark, sf_dir):
+    return _estimates(fh.fit(tables.area_planted(spark, sf_dir, 0.0), "y", "vardir", ["x"]))
+
+
+@query(sql.fay_herriot(sql.planted(1.5, 5.0, log=True)) + "select domain, round(exp(eblup + 0.5 * s2 * bb), 5) as eblup, round(eblup, 6) as eblup_log, round(mse, 7) as mse_log, round(exp(eblup + 0.5 * s2 * bb) ** 2 * mse, 5) as mse from est")
+def fh_log(spark, sf_dir):
+    fit = fh.fit(tables.area_planted(spark, sf_dir, 1.5, 5.0), "y", "vardir", ["x"], transform="log")
+    return rounded(fit.estimates.select("domain", "eblup", "eblup_log", "mse_log", "mse"), eblup=5, eblup_log=6, mse_log=7, mse=5)
+
+
+@query()
+def fh_selfbench(spark, sf_dir):
+    area = fh.benchmark_covariate(tables.area_lag(spark, sf_dir), "y", "vardir", "n")
+    return _estimates(fh.fit(area, "y", "vardir", ["x", "z"]))
+
+
+_TIERS = "case when rse <= 25 then 'reliable' when rse <= 50 then 'caution' when rse > 50 then 'unreliable' end"
+
+
+@query(sql.LAG_FH + f"select domain, {_TIERS} as reliability, (eblup >= 55)::int + (eblup >= 60)::int + (eblup >= 65)::int as est_class from (select *, 100 * sqrt(mse) / abs(eblup) as rse from est)")
+def reliability_tiers(spark, sf_dir):
+    fit = _lag_fit(spark, sf_dir)[1]
+    return compare.add_reliability_flags(fit.estimates, estimate="eblup", bounds=[55.0, 60.0, 65.0]).select("domain", "reliability", "est_class")
+
+
+_GVF = "with {area}, f0 as (select covar_pop(ln({t}), ln(n)) / var_pop(ln(n)) b, avg(ln({t})) mt, avg(ln(n)) mu from area where vardir > 0), f as (select b, mt - b * mu as a from f0), r as (select sum((ln({t}) - a - b*ln(n))**2) / (count(*) - 2) s2 from area, f where vardir > 0) select domain, round(exp(a + b*ln(n)) * exp(s2/2) * {m}, 6) as vardir_smooth from area, f, r"
+
+
+def _gvf(spark, sf_dir, method):
+    area = tables.area_lag(spark, sf_dir)
+    smooth, _ = prep.gvf_smooth(area, "n" if method != "cv_power" else "y", "vardir", method=method)
+    return rounded(smooth.select("domain", "vardir_smooth"), vardir_smooth=6)
+
+
+@query(_GVF.format(area=sql.AREA_LAG, t="vardir", m="1"))
+def gvf_loglinear(spark, sf_dir):
+    return _gvf(spark, sf_dir, "log_linear")
+
+
+@query(_GVF.format(area=sql.AREA_LAG, t="(vardir/(y*y))", m="y*y").replace("ln(n)", "ln(y)"))
+def gvf_cvpower(spark, sf_dir):
+    return _gvf(spark, sf_dir, "cv_power")
+
+
+@query()
+def gvf_gamma(spark, sf_dir):
+    return _gvf(spark, sf_dir, "gamma_glm")
+
+
+_DEFF = f"""with {sql.SHARE}, q as (select domain, region, n, y, vardir * (1 + domain % 3) as vardir, y*(1-y)/n as srs from prop),
+p as (select *, sum(vardir) over (partition by region) / sum(srs) over (partition by region) as pooled from q) """
+
+
+def _deff_table(spark, sf_dir):
+    return tables.area_share(spark, sf_dir).withColumn("vardir", F.col("vardir") * (1 + F.col("domain") % 3))
+
+
+@query(_DEFF + "select domain, round(greatest(pooled, 1), 6) as deff, 'group' as deff_source, round(n / greatest(pooled, 1), 5) as trials from p")
+def effective_trials_pooled(spark, sf_dir):
+    return rounded(prep.effective_trials(_deff_table(spark, sf_dir), "y", "vardir", "n", "region").select("domain", "deff", "deff_source", "trials"), deff=6, trials=5)
+
+
+@query(_DEFF + "select domain, round(greatest(vardir / srs, 1), 6) as deff, 'area' as deff_source, round(n / greatest(vardir / srs, 1), 5) as trials from p")
+def effective_trials_area(spark, sf_dir):
+    return rounded(prep.effective_trials(_deff_table(spark, sf_dir), "y", "vardir", "n", "region", method="area").select("domain", "deff", "deff_source", "trials"), deff=6, trials=5)
+
+
+def _region_edges(spark, sf_dir):
+    return weights.styled(weights.same_group(tables.read(spark, sf_dir, "nation"), "n_nationkey", "n_regionkey"), "W")
+
+
+@query(f"with {sql.REGION_EDGES} select src, dst, w from edges")
+def weights_region(spark, sf_dir):
+    return _region_edges(spark, sf_dir)
+
+
+@query("select n_nationkey as src, (n_nationkey + s) % 25 as dst, 0.5::double as w from nation, (values (1), (24)) t(s)")
+def weights_ring(spark, sf_dir):
+    return weights.styled(weights.ring(tables.read(spark, sf_dir, "nation"), "n_nationkey"), "W")
+
+
+_POINTS = "pts as (select n_nationkey as k, (n_nationkey * 7 % 11)::double as a, (n_nationkey * 5 % 13)::double as b from nation), d as (select s.k as src, t.k as dst, sqrt((s.a-t.a)**2 + (s.b-t.b)**2) as d from pts s join pts t on s.k <> t.k)"
+
+
+def _points(spark, sf_dir):
+    k = F.col("n_nationkey")
+    return tables.read(spark, sf_dir, "nation").select(k.alias("k"), (k * 7 % 11).cast("double").alias("a"), (k * 5 % 13).cast("double").alias("b"))
+
+
+@query(f"with {_POINTS} select src, dst, 0.25::double as w from (select *, row_number() over (partition by src order by d, dst) as r from d) where r <= 4")
+def weights_knn(spark, sf_dir):
+    return weights.styled(weights.knn(_points(spark, sf_dir), "k", ["a", "b"], 4), "W")
+
+
+@query(f"with {_POINTS} select src, dst, 1.0::double as w from d where d <= 1.001 * (select max(m) from (select min(d) m from d group by src))")
+def weights_distance(spark, sf_dir):
+    return weights.distance(_points(spark, sf_dir), "k", ["a", "b"])
+
+
+@query(f"with {_POINTS} select src, dst, round(1 / d, 8) as w from d where d > 0 and d <= 5")
+def weights_idw(spark, sf_dir):
+    return rounded(weights.idw(_points(spark, sf_dir), "k", ["a", "b"], 1.0, 5.0), w=8)
+
+
+def _moran(df: DataFrame) -> DataFrame:
+    return rounded(df, moran_i=6, expected=6, variance=6, z=5)
+
+
+@query(f"with {sql.AREA_LAG}, {sql.REGION_EDGES}," + sql.moran("z0 as (select domain as k, y as v from area)"))
+def moran_y(spark, sf_dir):
+    return _moran(spatial.moran(tables.area_lag(spark, sf_dir), _region_edges(spark, sf_dir)))
+
+
+_LINE = "ln0 as (select regr_slope(y, x) b, regr_intercept(y, x) a from area)"
+
+
+@query(f"with {sql.AREA_LAG}, {sql.REGION_EDGES}, {_LINE}," + sql.moran("z0 as (select domain as k, y - a - b*x as v from area, ln0)"))
+def moran_resid(spark, sf_dir):
+    return _moran(spatial.moran(spatial.ols_residuals(tables.area_lag(spark, sf_dir), "domain", "y", "x"), _region_edges(spark, sf_dir), value="e"))
+
+
+_LM = f"""with {sql.AREA_LAG}, {sql.REGION_EDGES}, {_LINE}, r as (select domain as k, y, x, y - a - b*x as e, a + b*x as f from area, ln0),
+c as (select sum(w*i.e*j.e) ewe, sum(w*i.e*j.y) ewy from edges join r i on i.k = src join r j on j.k = dst), t as (select sum(w*w*2) t from edges),
+l as (select i.k, any_value(i.x) x, sum(w*j.f) wf from edges join r i on i.k = src join r j on j.k = dst group by i.k),
+g as (select regr_syy(wf, x) - regr_sxy(wf, x)**2 / regr_sxx(wf, x) m from l), s as (select sum(e*e)/count(*) s2 from r)
+select round((ewe/s2)**2/t, 5) as lm_error, round((ewy/s2)**2/(t + m/s2), 5) as lm_lag from c, t, g, s"""
+
+
+@query(_LM)
+def lm_tests(spark, sf_dir):
+    return rounded(spatial.lagrange(tables.area_lag(spark, sf_dir), _region_edges(spark, sf_dir)), lm_error=5, lm_lag=5)
+
+
+_BENCH = sql.LAG_FH + """, t as (select region, sum(n*y)/sum(n) + 1 as target from area group by region),
+b as (select est.*, n / sum(n) over (partition by region) as w, target from est join t using (region)),
+o as (select *, sum(w*eblup) over (partition by region) as own, sum(w*w*greatest(mse, 1e-8)) over (partition by region) as sm from b),
+k as (select *, {new} as new, {k} as kk from o)
+select domain, region, round(eblup, 5) as original, round(new, 5) as benchmarked, round(target, 5) as target, round(greatest(mse - 2*kk*w*mse + (new-eblup)**2, 0), 4) as mse_benchmarked from k"""
+
+
+def _bench(spark, sf_dir, method):
+    rows = _with_region(spark, sf_dir)
+    target = tables.area_lag(spark, sf_dir).groupBy("region").agg((F.sum(F.col("n") * F.col("y")) / F.sum("n") + 1).alias("target"))
+    out = benchmark(rows, "eblup", target, "n", "region", method, mse="mse")
+    return rounded(out.select("domain", "region", "original", "benchmarked", "target", "mse_benchmarked"), original=5, benchmarked=5, target=5, mse_benchmarked=4)
+
+
+@query(_BENCH.format(new="eblup*target/own", k="eblup/own"))
+def bench_ratio(spark, sf_dir):
+    return _bench(spark, sf_dir, "ratio")
+
+
+@query(_BENCH.format(new="eblup + target - own", k="1.0"))
+def bench_difference(spark, sf_dir):
+    return _bench(spark, sf_dir, "difference")
+
+
+@query(_BENCH.format(new="eblup + w*greatest(mse,1e-8)*(target-own)/sm", k="w*greatest(mse,1e-8)/sm"))
+def bench_optimal(spark, sf_dir):
+    return _bench(spark, sf_dir, "optimal")
+
+
+@query()
+def bench_logit(spark, sf_dir):
+    rows = tables.area_share(spark, sf_dir).where("y > 0 and y < 1")
+    target = rows.groupBy("region").agg((F.sum(F.col("n") * F.col("y")) / F.sum("n") * 1.05).alias("target"))
+    out = benchmark(rows, "y", target, "n", "region", "logit", mse="vardir")
+    return rounded(out.select("domain", "region", "original", "benchmarked", "target"), original=8, benchmarked=8, target=8)
+
+
+_HIER = sql.LAG_FH + """, b as (select est.*, n / sum(n) over (partition by region) as w from est),
+g as (select region, sum(n) as size, sum(w*eblup) as own, sum(w*w*greatest(mse, 1e-8)) as gm from b group by region),
+h as (select *, size / sum(size) over () as share from g), h2 as (select *, sum(share*own) over () as agg, sum(share*share*gm) over () as sg from h),
+m as (select region, own, {move} as target, gm from h2)
+select domain, region, round(target, 5) as target, round({new}, 5) as benchmarked from b join m using (region)"""
+
+
+def _hier(spark, sf_dir, method):
+    out = benchmark(_with_region(spark, sf_dir), "eblup", None, "n", "region", method, mse="mse", national_target=61.0)
+    return rounded(out.select("domain", "region", "target", "benchmarked"), target=5, benchmarked=5)
+
+
+@query(_HIER.format(move="own * 61.0 / agg", new="eblup*target/own"))
+def bench_hier_ratio(spark, sf_dir):
+    return _hier(spark, sf_dir, "ratio")
+
+
+@query(_HIER.format(move="own + 61.0 - agg", new="eblup + target - own"))
+def bench_hier_difference(spark, sf_dir):
+    return _hier(spark, sf_dir, "difference")
+
+
+@query(_HIER.format(move="own + share*greatest(gm,1e-8)*(61.0-agg)/sg", new="eblup + w*greatest(mse,1e-8)*(target-own)/gm"))
+def bench_hier_optimal(spark, sf_dir):
+    return _hier(spark, sf_dir, "optimal")
+
+
+_PAIR = sql.LAG_FH + ", pair as (select domain, y as e1, vardir as m1, eblup as e2, mse as m2 from est)"
+
+
+def _both(spark, sf_dir):
+    e = _lag_fit(spark, sf_dir)[1].estimates
+    return compare.joined(e.select("domain", F.col("y").alias("est"), F.col("vardir").alias("mse")), e.select("domain", F.col("eblup").alias("est"), "mse"), ["domain"])
+
+
+@query(_PAIR + """, r as (select *, rank() over (order by e1 desc) + (count(*) over (partition by e1) - 1)/2.0 as r1, rank() over (order by e2 desc) + (count(*) over (partition by e2) - 1)/2.0 as r2 from pair)
+select domain::varchar as domain, round(e2-e1, 5) as diff, round((e2-e1)/sqrt(m1), 5) as z_diff, round(m1/m2, 5) as mse_ratio, r1::double as rank_1, r2::double as rank_2 from r""")
+def compare_rows(spark, sf_dir):
+    out = compare.compare_rows(_both(spark, sf_dir), ["domain"])
+    return rounded(out.select("domain", "diff", "z_diff", "mse_ratio", "rank_1", "rank_2"), diff=5, z_diff=5, mse_ratio=5)
+
+
+@query(_PAIR + """, r as (select *, rank() over (order by e1 desc)::double as r1, rank() over (order by e2 desc)::double as r2, e2 - e1 as d from pair)
+select count(*) as n, round(avg(d),5) as mean_diff, round(stddev_samp(d),5) as sd_diff, round(avg(abs(d)),5) as mae, round(sqrt(avg(d*d)),5) as rmsd,
+ round(2*covar_pop(e1,e2)/(var_pop(e1)+var_pop(e2)+(avg(e1)-avg(e2))**2),5) as ccc, round(corr(r1,r2),5) as spearman from r""")
+def compare_metrics(spark, sf_dir):
+    out = compare.compare_metrics(_both(spark, sf_dir)).select("n", "mean_diff", "sd_diff", "mae", "rmsd", "ccc", "spearman")
+    return rounded(out, mean_diff=5, sd_diff=5, mae=5, rmsd=5, ccc=5, spearman=5)
+
+
+@query(_PAIR + """, r as (select greatest(1, round(0.2*count(*) over ()))::int as k, row_number() over (order by e1 desc, domain::varchar) t1, row_number() over (order by e2 desc, domain::varchar) t2, row_number() over (order by e1, domain::varchar) b1, row_number() over (order by e2, domain::varchar) b2 from pair)
+select max(k) as k, count(*) filter (t1<=k and t2<=k) as top_overlap, count(*) filter (b1<=k and b2<=k) as bottom_overlap from r""")
+def top_overlap(spark, sf_dir):
+    return compare.top_overlap(_both(spark, sf_dir), "domain", 0.2)
+
+
+@query(sql.LAG_FH + """, r as (select *, 100*sqrt(mse)/abs(eblup) as rse, 100*sqrt(vardir)/abs(y) as dr from est)
+select count(*) as n, round(avg(rse),4) as rse_mean, round(quantile_cont(rse,0.25),4) as rse_q1, round(median(rse),4) as rse_median, round(quantile_cont(rse,0.75),4) as rse_q3, round(max(rse),4) as rse_max, round(avg(case when rse<=25 then 1.0 else 0.0 end)::double,6) as share_reliable, round(avg(1-rse/dr),5) as mean_gain from r""")
+def diagnose_precision(spark, sf_dir):
+    return rounded(compare.precision_summary(_lag_fit(spark, sf_dir)[1].estimates), rse_mean=4, rse_q1=4, rse_median=4, rse_q3=4, rse_max=4, share_reliable=6, mean_gain=5)
+
+
+@query(sql.LAG_FH + "select count(*) as m, round(sum((y-eblup)**2/(vardir+mse)),5) as w, round(regr_slope(y,eblup),5) as slope, round(regr_intercept(y,eblup),4) as intercept, round(regr_r2(y,eblup),5) as r2 from est")
+def brown(spark, sf_dir):
+    return rounded(compare.brown(_lag_fit(spark, sf_dir)[1].estimates), w=5, slope=5, intercept=4, r2=5)
+
+
+def _units(spark, sf_dir):
+    o, c = tables.read(spark, sf_dir, "orders"), tables.read(spark, sf_dir, "customer")
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("domain"), F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 1000).alias("y"), (F.col("c_acctbal") / 1000).alias("x"))
+
+
+_UNITS = "u as (select c_nationkey as domain, o_orderkey as id, o_totalprice/1000 as y, c_acctbal/1000 as x from orders join customer on o_custkey = c_custkey), s as (select * from u where id % 3 <> 0)"
+
+
+@query(f"with {_UNITS} select domain, count(*) as n, round(avg(y),6) as y_mean, round(avg(x),6) as x_mean from s group by domain")
+def bhf_suffstats(spark, sf_dir):
+    stats, _ = bhf.domain_statistics(_units(spark, sf_dir).where("id % 3 <> 0"), "domain", "y", ["x"])
+    return rounded(stats.select("domain", "n", "y_mean", F.col("x_mean")[0].alias("x_mean")), y_mean=6, x_mean=6)
+
+
+@query()
+def bhf_eblup(spark, sf_dir):
+    u = _units(spark, sf_dir)
+    pop = u.groupBy("domain").agg(F.count("*").alias("pop_n"), F.avg("x").alias("x"))
+    return bhf.fit(u.where("id % 3 <> 0"), pop, "domain", "y", ["x"]).estimates
+
+
+@query()
+def sfh_eblup(spark, sf_dir):
+    return area_models.spatial(_unsampled(spark, sf_dir), _region_edges(spark, sf_dir), "y", "vardir", ["x"]).estimates
+
+
+@query()
+def sfh_bootstrap(spark, sf_dir):
+    return area_models.bootstrap(tables.area_lag(spark, sf_dir), _region_edges(spark, sf_dir), "y", "vardir", ["x"], replicates=40)
+
+
+def _panel(spark, sf_dir):
+    c, o = tables.read(spark, sf_dir, "customer"), tables.read(spark, sf_dir, "orders")
+    rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("domain"), F.year("o_orderdate").alias("time"), (F.col("o_totalprice") / 1000).alias("p"), F.col("c_acctbal"))
+    return rows.groupBy("domain", "time").agg((F.avg("p") + 40 * F.sin(F.col("domain").cast("double"))).alias("y"), (F.var_samp("p") / F.count("*")).alias("vardir"), (F.avg("c_acctbal") / 1000).alias("x")).where("vardir > 0")
+
+
+@query()
+def stfh_eblup(spark, sf_dir):
+    return area_models.spatio_temporal(_panel(spark, sf_dir), _region_edges(spark, sf_dir), "y", "vardir", ["x"]).estimates
+
+
+def _two_fold(spark, sf_dir):
+    c = tables.read(spark, sf_dir, "customer")
+    b = F.col("c_acctbal") / 1000
+    rows = c.groupBy(F.col("c_nationkey").alias("domain"), F.col("c_mktsegment").alias("subarea")).agg((F.avg(b) + 1.5 * F.sin(F.col("c_nationkey").cast("double"))).alias("y"), (F.var_samp(b) / F.count("*")).alias("vardir"), F.count("*").alias("n"), F.avg(F.col("c_custkey") % 7).cast("double").alias("x"))
+    return rows.where("vardir > 0")
+
+
+@query()
+def twofold_sub(spark, sf_dir):
+    return area_models.two_fold(_two_fold(spark, sf_dir), "y", "vardir", ["x"]).estimates
+
+
+@query()
+def twofold_area(spark, sf_dir):
+    return area_models.two_fold(_two_fold(spark, sf_dir), "y", "vardir", ["x"], weight="n").df_area
+
+
+@query()
+def step_fh(spark, sf_dir):
+    area = tables.area_lag(spark, sf_dir).withColumn("k", F.sin(F.col("domain").cast("double")))
+    _, path = stepwise.step(area, "y", "vardir", ["x", "k"])
+    return spark.createDataFrame([(i, a, float(v)) for i, (a, v) in enumerate(path)], "step int, action string, aic double")
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    return spark.read.parquet("/root/testdata/sf0.001/nation.parquet")
+    """Fay-Herriot estimates by nation, with names."""
+    sf_dir = "/root/testdata/sf0.001"
+    names = tables.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("domain"), F.col("n_name").alias("name"))
+    return fh_eblup(spark, sf_dir).join(names, "domain")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
