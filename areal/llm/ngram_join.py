@@ -6,9 +6,11 @@ subset in common. Heavy (large) sets go into inverted lists, by the part of each
 in which two linked sets must meet. The boundary between them is where enumeration would begin to make more keys than the
 lists make entries to scan. Rarity comes from counts of all elements in a table of fixed size; any order gives the same links.
 
-Lists are not expanded into pairs. First, neighbours in each list (by size) are compared exactly and the links
-found are contracted to components. Only lists that still hold several components are compared further: members of
-different components, each pair once. So a list of thousands of near copies costs about as many comparisons as it
+Lists are not expanded into pairs. An entry's position in its set's order bounds the overlap with another set that first meets it
+there; members of a list are ordered by it, so that those with the fewest rare elements of their own come first. First, each
+member is compared exactly with its list's first one and with its neighbour, and the links found are contracted to
+components. Only lists that still hold several components are compared further: members of different components whose
+positions allow a link, each pair once. So a list of thousands of near copies costs about as many comparisons as it
 has members, and no link that joins two components is lost.
 """
 
@@ -25,7 +27,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from areal.llm.common import small, written
@@ -157,10 +159,13 @@ def boundary(slots: np.ndarray, sizes: np.ndarray, rule: Rule) -> int:
     return best
 
 
-def _keys(found: np.ndarray, slots: np.ndarray, light: int, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """A set's keys, and into how many parts the list of each is split."""
+NO_KEYS = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+
+def _keys(found: np.ndarray, slots: np.ndarray, light: int, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A set's keys, into how many parts the list of each is split, and how many elements come before it in the set's order."""
     a = len(found)
-    keys, parts = [], []
+    keys, parts, places = [], [], []
     if a < light:
         mixed = _mixed(found * ODD[2])
         whole = mixed.sum()
@@ -169,14 +174,16 @@ def _keys(found: np.ndarray, slots: np.ndarray, light: int, rule: Rule) -> tuple
             sums = np.array([whole - mixed[list(x)].sum() if x else whole for x in left_out], np.uint64)
             keys.append(_mixed(sums + np.uint64(c)))
             parts.append(np.ones(len(sums), np.int32))
+            places.append(np.zeros(len(sums), np.int32))
     if a >= rule.least(light):  # heavy, or light and perhaps linked with a heavy one
         count = slots[(found & np.uint64(SLOTS - 1)).astype(np.int64)]
         first = np.lexsort((found, count))[: int(rule.prefix(a))]
         keys.append(found[first])
         parts.append(1 + count[first] // PART)
+        places.append(np.arange(len(first)))
     if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
-    return np.concatenate(keys), np.concatenate(parts).astype(np.int32)
+        return NO_KEYS
+    return np.concatenate(keys), np.concatenate(parts).astype(np.int32), np.concatenate(places).astype(np.int32)
 
 
 def _sets(docs: DataFrame, slots: np.ndarray, light: int, rule: Rule) -> DataFrame:
@@ -184,39 +191,52 @@ def _sets(docs: DataFrame, slots: np.ndarray, light: int, rule: Rule) -> DataFra
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, sizes, keys, parts = [], [], [], []
+            nodes, sizes, keys, parts, places = [], [], [], [], []
             done: dict[bytes, bool] = {}
             for text in b.column(1):
                 found = elements(text.as_py(), rule)
                 node = _node(found) if len(found) else None
-                k, p = (np.zeros(0, np.uint64), np.zeros(0, np.int32)) if node is None or node in done else _keys(found, slots, light, rule)
+                k, p, at = NO_KEYS if node is None or node in done else _keys(found, slots, light, rule)
                 done[node] = True  # equal sets have equal keys: once a batch will do
                 nodes.append(node)
                 sizes.append(len(found))
                 keys.append(k)
                 parts.append(p)
+                places.append(at)
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys).view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts)))],
-                names=["doc_id", "node", "n", "keys", "parts"],
+                [b.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys).view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts))), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(places)))],
+                names=["doc_id", "node", "n", "keys", "parts", "places"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(keyed, "doc_id long, node binary, n long, keys array<long>, parts array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(keyed, "doc_id long, node binary, n long, keys array<long>, parts array<int>, places array<int>")
 
 
 def _neighbours(entries: DataFrame) -> DataFrame:
-    """Pairs of neighbours in every list, by size; split lists are joined at the parts' first entries."""
-    order = Window.partitionBy("key", "part").orderBy("n", "node")
-    one = entries.withColumns({"b": F.lead("node").over(order), "bn": F.lead("n").over(order), "at": F.row_number().over(order)})
-    order = Window.partitionBy("key").orderBy("n", "node")
-    heads = one.where("at = 1 and several").select("key", "node", "n").withColumns({"b": F.lead("node").over(order), "bn": F.lead("n").over(order)})
-    return one.select("node", "n", "b", "bn").union(heads.select("node", "n", "b", "bn")).where("b is not null")
+    """Pairs of each entry with the first of its list and with the next one; split lists are joined at their parts' first entries."""
+
+    def paired(rows: DataFrame, *list_of: str) -> DataFrame:
+        order = Window.partitionBy(*list_of).orderBy("at", "n", "node")
+        me = F.struct("node", "n", "at")
+        return rows.withColumns({"next": F.lead(me).over(order), "head": F.first(me).over(order), "r": F.row_number().over(order)})
+
+    one = paired(entries, "key", "part")
+    heads = paired(one.where("r = 1 and several").select("key", "node", "n", "at"), "key")
+    both = one.select("node", "n", "at", "next", "head").union(heads.select("node", "n", "at", "next", "head"))
+    other = both.select("node", "n", "at", F.explode(F.array("next", "head")).alias("o")).where("o is not null")
+    return other.select("node", "n", "at", F.col("o.node").alias("b"), F.col("o.n").alias("bn"), F.col("o.at").alias("bat"))
+
+
+def _allowed(rule: Rule) -> Column:
+    """Sizes allow a link, and so do positions if this is the first element, in the common order, that both sets have."""
+    sizes = F.least("n", "bn") * 100 >= F.greatest("n", "bn") * rule.percent
+    most = F.least(F.col("n") - F.col("at"), F.col("bn") - F.col("bat"))
+    return sizes & (most * (100 + rule.percent) >= (F.col("n") + F.col("bn")) * rule.percent)
 
 
 def _ordered(pairs: DataFrame, rule: Rule) -> DataFrame:
-    """Distinct candidate pairs a < b whose sizes allow a link."""
-    fits = F.least("n", "bn") * 100 >= F.greatest("n", "bn") * rule.percent
-    return pairs.where(fits & (F.col("node") != F.col("b"))).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    """Distinct candidate pairs a < b that may be links."""
+    return pairs.where(_allowed(rule) & (F.col("node") != F.col("b"))).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
 
 def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
@@ -256,11 +276,11 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     slots, sizes = _census(docs, rule)
     light = boundary(slots, sizes, rule)
     every = written(_sets(docs, slots, light, rule), "sets")
-    sets = every.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max_by(F.struct("keys", "parts"), F.size("keys")).alias("k"))
+    sets = every.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max_by(F.struct("keys", "parts", "places"), F.size("keys")).alias("k"))
     sets = written(sets, "classes")
-    entry = F.explode(F.arrays_zip("k.keys", "k.parts"))
+    entry = F.explode(F.arrays_zip("k.keys", "k.parts", "k.places"))
     entries = sets.where("rep is not null").select("node", "n", entry.alias("e")).select(
-        "node", "n", F.col("e.keys").alias("key"), (F.pmod(F.xxhash64("node"), F.col("e.parts"))).alias("part"), (F.col("e.parts") > 1).alias("several")
+        "node", "n", F.col("e.keys").alias("key"), F.col("e.places").alias("at"), (F.pmod(F.xxhash64("node"), F.col("e.parts"))).alias("part"), (F.col("e.parts") > 1).alias("several")
     )
     entries = written(entries, "entries")
     first = written(_ordered(_neighbours(entries), rule), "pairs")
@@ -268,14 +288,12 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     of = connected_components(checked.where("linked"))
 
     # lists that still hold several components: their members across components, each pair once
-    placed = entries.join(of, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
-    open_ = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).where("c0 <> c1 and m > 2").select("key")
+    placed = entries.join(of, "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("c"))
+    open_ = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).where("c0 <> c1 and m > 3").select("key")
     rest = written(placed.join(open_, "key", "left_semi"), "open")
-    groups = rest.select("key", "c").distinct()
-    other = groups.select("key", F.col("c").alias("d"))
-    across = groups.join(other, "key").where("c < d")
-    members = rest.select("key", F.col("c").alias("d"), F.col("node").alias("b"), F.col("n").alias("bn"))
-    pairs = _ordered(across.join(rest, ["key", "c"]).join(members, ["key", "d"]), rule).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    others = rest.select("key", F.col("c").alias("d"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("at").alias("bat"))
+    across = rest.join(others, (rest.key == others.key) & (F.col("c") < F.col("d")) & _allowed(rule)).drop(others.key)
+    pairs = _ordered(across, rule).join(checked.select("a", "b"), ["a", "b"], "left_anti")
     pairs = written(pairs, "pairs")
     again = written(_verified(docs, sets, pairs, rule), "checked")
     of = connected_components(checked.where("linked").select("a", "b").union(again.where("linked").select("a", "b")))
