@@ -212,17 +212,17 @@ def _sets(docs: DataFrame, slots: np.ndarray, light: int, rule: Rule) -> DataFra
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(keyed, "doc_id long, node binary, n long, keys array<long>, parts array<int>, places array<int>")
 
 
-def _neighbours(entries: DataFrame) -> DataFrame:
-    """Pairs of each entry with the first of its list and with the next one; split lists are joined at their parts' first entries."""
+def _paired(rows: DataFrame, *list_of: str) -> DataFrame:
+    """rows with the next entry of their list, its first one, and their number in it."""
+    order = Window.partitionBy(*list_of).orderBy("at", "n", "node")
+    me = F.struct("node", "n", "at")
+    return rows.withColumns({"next": F.lead(me).over(order), "head": F.first(me).over(order), "r": F.row_number().over(order)})
 
-    def paired(rows: DataFrame, *list_of: str) -> DataFrame:
-        order = Window.partitionBy(*list_of).orderBy("at", "n", "node")
-        me = F.struct("node", "n", "at")
-        return rows.withColumns({"next": F.lead(me).over(order), "head": F.first(me).over(order), "r": F.row_number().over(order)})
 
-    one = paired(entries, "key", "part")
-    heads = paired(one.where("r = 1 and several").select("key", "node", "n", "at"), "key")
-    both = one.select("node", "n", "at", "next", "head").union(heads.select("node", "n", "at", "next", "head"))
+def _neighbours(lists: DataFrame) -> DataFrame:
+    """Pairs of each entry with the first of its list and with the next one; split lists are joined at their parts' first entries."""
+    heads = _paired(lists.where("r = 1 and several").select("key", "node", "n", "at"), "key")
+    both = lists.select("node", "n", "at", "next", "head").union(heads.select("node", "n", "at", "next", "head"))
     other = both.select("node", "n", "at", F.explode(F.array("next", "head")).alias("o")).where("o is not null")
     return other.select("node", "n", "at", F.col("o.node").alias("b"), F.col("o.n").alias("bn"), F.col("o.at").alias("bat"))
 
@@ -282,13 +282,14 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     entries = sets.where("rep is not null").select("node", "n", entry.alias("e")).select(
         "node", "n", F.col("e.keys").alias("key"), F.col("e.places").alias("at"), (F.pmod(F.xxhash64("node"), F.col("e.parts"))).alias("part"), (F.col("e.parts") > 1).alias("several")
     )
-    entries = written(entries, "entries")
-    first = written(_ordered(_neighbours(entries), rule), "pairs")
+    # most elements are in one set only: their lists end here
+    lists = written(_paired(entries, "key", "part").where("next is not null or r > 1 or several"), "lists")
+    first = written(_ordered(_neighbours(lists), rule), "pairs")
     checked = written(_verified(docs, sets, first, rule), "checked")
     of = connected_components(checked.where("linked"))
 
     # lists that still hold several components: their members across components, each pair once
-    placed = entries.join(of, "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("c"))
+    placed = lists.join(of, "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("c"))
     open_ = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).where("c0 <> c1 and m > 3").select("key")
     rest = written(placed.join(open_, "key", "left_semi"), "open")
     others = rest.select("key", F.col("c").alias("d"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("at").alias("bat"))
