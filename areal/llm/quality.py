@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from areal.llm.common import WORD, let, small
+from areal.llm.common import WORD, let, small, written
 
 #: Rules: figure of a text (higher is worse) and its cut-offs, from the mildest to the strictest.
 RULES: dict[str, tuple[Callable[[], Column], list[float]]] = {
@@ -123,10 +123,9 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.1, level: float =
     kept unless a rule of their stratum rejects them. Columns of docs besides doc_id, text and the stratum are ignored.
     """
     chosen = docs.select("doc_id", F.coalesce(F.col(stratum).cast("string"), F.lit("\x00null")).alias("stratum"), F.col("text").alias("text"))
-    measured = figures(chosen).select("doc_id", "stratum", "q")
-    labelled = figures(chosen.join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")).select("doc_id", "stratum", "q")
-    wide = cutoffs(labelled, labels, risk, level).groupBy("stratum").pivot("rule", list(RULES)).agg(F.min("cutoff"))
-    wide = F.broadcast(wide) if small(chosen.select("stratum").distinct(), MOST_STRATA) else wide
+    measured = written(figures(chosen).select("doc_id", "stratum", "q"), "figures")  # counts only: texts are read once and never shuffled
+    wide = cutoffs(measured, labels, risk, level).groupBy("stratum").pivot("rule", list(RULES)).agg(F.min("cutoff"))
+    wide = F.broadcast(wide) if small(measured.select("stratum").distinct(), MOST_STRATA) else wide
     figure = measured.join(wide, "stratum", "left").select("doc_id", "q.*", *[F.col(name).alias(f"cut_{name}") for name in RULES])
     fired = F.filter(F.array(*[F.when(f().cast("double") > F.col(f"cut_{name}"), F.lit(name)) for name, (f, _) in RULES.items()]), lambda x: x.isNotNull())
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
