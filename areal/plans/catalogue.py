@@ -131,7 +131,7 @@ def gvf_loglinear(spark, sf_dir):
     return _gvf(spark, sf_dir, "log_linear")
 
 
-@query(_GVF.format(area=sql.AREA_LAG, t="(vardir/(y*y))", m="y*y").replace("ln(n)", "ln(y)"))
+@query(_GVF.format(area=sql.AREA_LAG, t="(vardir/(y*y))", m="y*y").replace("ln(n)", "ln(case when y > 0 then y end)").replace("vardir > 0", "vardir > 0 and y > 0"))
 def gvf_cvpower(spark, sf_dir):
     return _gvf(spark, sf_dir, "cv_power")
 
