@@ -162,7 +162,7 @@ def fit(y: np.ndarray, x: np.ndarray, psi: np.ndarray, structure: Structure, met
     ds = [d[sub] for d in ds_all]
     pd = [p @ d for d in ds]
     info = 0.5 * np.array([[np.sum(a * b.T) for b in pd] for a in pd])
-    inside = (t > structure.low) & (t < structure.high)
+    inside = (t < structure.high) & ((t > structure.low) | (structure.low == 0))  # a correlation at its bound counts as fixed, a variance of 0 doesn't
     var = np.zeros_like(info)
     if inside.any():
         var[np.ix_(inside, inside)] = np.linalg.pinv(info[np.ix_(inside, inside)])
@@ -188,7 +188,7 @@ def fit(y: np.ndarray, x: np.ndarray, psi: np.ndarray, structure: Structure, met
         shift = -0.5 * np.linalg.pinv(info) @ np.array([np.trace((vi - full) @ dj) for dj in ds])
         for j, dj in enumerate(ds_all):
             bias += shift[j] * (np.diag(dj) - 2 * np.sum(k * dj[:, s], axis=1) + np.sum((k @ dj[sub]) * k, axis=1))
-    mse = g1 + g2 + np.where(seen | (not plain_unseen), 2 * g3 + curve, g3) - bias
+    mse = g1 + g2 + np.where(seen | (not plain_unseen), 2 * g3 + curve, g3) - np.where(seen, bias, 0.0)  # the ML bias is taken off where y is known
     mse = np.where((mse < 0) & (mse > -1e-8), 0.0, mse)
     mse = np.where(mse < 0, np.nan, mse)
     count = len(beta) + len(t)
