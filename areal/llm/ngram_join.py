@@ -10,7 +10,8 @@ Lists are not expanded into pairs. An entry's position in its set's order bounds
 there; members of a list are ordered by it, so that those with the fewest rare elements of their own come first. First, each
 member is compared exactly with its list's first one and with its neighbour, and the links found are contracted to
 components. Only lists that still hold several components are compared further: members of different components whose
-positions allow a link, each pair once. So a list of thousands of near copies costs about as many comparisons as it
+positions allow a link, each pair once. Before sets are fetched for an exact comparison, parity bits rule out most pairs: a bit
+is the parity of the elements that fall on it, so two sets differ in at least as many elements as in bits. So a list of thousands of near copies costs about as many comparisons as it
 has members, and no link that joins two components is lost.
 """
 
@@ -37,6 +38,8 @@ KEPT_WORDS = 400_000
 #: Slots of the table of element counts, and how many entries a list part has before it is split.
 SLOTS = 1 << 22
 PART = 1024
+#: Words of 64 parity bits of a set, and of one with LONG elements or more.
+BITS, LONG_BITS, LONG = 8, 64, 2000
 #: Light sets have fewer elements than this at most.
 LIGHT_MOST = 40
 #: Candidates' ids go to all executors only up to this number; beyond it rows are shuffled.
@@ -111,6 +114,13 @@ def _node(found: np.ndarray) -> bytes:
     return struct.pack(">QQ", int(_mixed(found).sum() & np.uint64(2**64 - 1)), int(_mixed(found * ODD[1]).sum() & np.uint64(2**64 - 1)))
 
 
+def _parity(found: np.ndarray) -> np.ndarray:
+    """Parities of how many elements fall on each bit."""
+    width = 64 * (BITS if len(found) < LONG else LONG_BITS)
+    odd = np.bincount((_mixed(found * ODD[3]) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _census(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     """Counts of all elements by slot, and how many sets there are of each size below LIGHT_MOST.
 
@@ -159,6 +169,7 @@ def boundary(slots: np.ndarray, sizes: np.ndarray, rule: Rule) -> int:
     return best
 
 
+NO_BITS = np.zeros(0, np.int64)
 NO_KEYS = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
 
@@ -187,16 +198,17 @@ def _keys(found: np.ndarray, slots: np.ndarray, light: int, rule: Rule) -> tuple
 
 
 def _sets(docs: DataFrame, slots: np.ndarray, light: int, rule: Rule) -> DataFrame:
-    """doc_id, node (16 bytes), n and the keys of each document's set."""
+    """doc_id, node (16 bytes), n, the keys and the parity bits of each document's set."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, sizes, keys, parts, places = [], [], [], [], []
+            nodes, sizes, keys, parts, places, bits = [], [], [], [], [], []
             done: dict[bytes, bool] = {}
             for text in b.column(1):
                 found = elements(text.as_py(), rule)
                 node = _node(found) if len(found) else None
                 k, p, at = NO_KEYS if node is None or node in done else _keys(found, slots, light, rule)
+                bits.append(_parity(found) if node is not None and node not in done else NO_BITS)
                 done[node] = True  # equal sets have equal keys: once a batch will do
                 nodes.append(node)
                 sizes.append(len(found))
@@ -204,12 +216,13 @@ def _sets(docs: DataFrame, slots: np.ndarray, light: int, rule: Rule) -> DataFra
                 parts.append(p)
                 places.append(at)
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32))
+            bit_offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in bits]))).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys).view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts))), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(places)))],
-                names=["doc_id", "node", "n", "keys", "parts", "places"],
+                [b.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys).view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts))), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(places))), pa.ListArray.from_arrays(bit_offsets, pa.array(np.concatenate(bits)))],
+                names=["doc_id", "node", "n", "keys", "parts", "places", "bits"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(keyed, "doc_id long, node binary, n long, keys array<long>, parts array<int>, places array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(keyed, "doc_id long, node binary, n long, keys array<long>, parts array<int>, places array<int>, bits array<long>")
 
 
 def _paired(rows: DataFrame, *list_of: str) -> DataFrame:
@@ -239,13 +252,22 @@ def _ordered(pairs: DataFrame, rule: Rule) -> DataFrame:
     return pairs.where(_allowed(rule) & (F.col("node") != F.col("b"))).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
 
+def _possible(sets: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) that parity bits don't rule out, with the documents that have their sets."""
+    me = sets.where("rep is not null").select("node", "n", "rep", "bits")
+    a, b = (me.select(*[F.col(x).alias(f"{x}_{end}") for x in me.columns]) for end in "ab")
+    both = pairs.join(a, F.col("a") == F.col("node_a")).join(b, F.col("b") == F.col("node_b"))
+    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    most = F.floor(((F.col("n_a") + F.col("n_b")) - apart) / 2)  # of the overlap
+    rest = (F.size("bits_a") != F.size("bits_b")) | (most * (100 + rule.percent) >= (F.col("n_a") + F.col("n_b")) * rule.percent)
+    return both.where(rest).select("a", "b", "rep_a", "rep_b")
+
+
 def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
-    """pairs (a, b) with linked, by the exact overlap of the sets of both."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    ids = written(nodes.join(sets.select("node", F.col("rep").alias("doc_id")), "node"), "ids")
-    wanted = ids.select("doc_id")
-    if small(ids, BROADCAST_IDS):
-        wanted = F.broadcast(wanted)
+    """Which of pairs (a, b) are linked, by the exact overlap of the sets of both; those surely not linked are left out."""
+    pairs = written(_possible(sets, pairs, rule), "possible")
+    ids = pairs.select(F.col("rep_a").alias("doc_id")).union(pairs.select("rep_b")).distinct()
+    wanted = F.broadcast(ids) if small(ids, BROADCAST_IDS) else ids
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,8 +298,8 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     slots, sizes = _census(docs, rule)
     light = boundary(slots, sizes, rule)
     every = written(_sets(docs, slots, light, rule), "sets")
-    sets = every.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max_by(F.struct("keys", "parts", "places"), F.size("keys")).alias("k"))
-    sets = written(sets, "classes")
+    sets = every.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max_by(F.struct("keys", "parts", "places", "bits"), F.size("bits")).alias("k"))
+    sets = written(sets.select("node", "rep", "n", "k", F.col("k.bits").alias("bits")).withColumn("k", F.col("k").dropFields("bits")), "classes")
     entry = F.explode(F.arrays_zip("k.keys", "k.parts", "k.places"))
     entries = sets.where("rep is not null").select("node", "n", entry.alias("e")).select(
         "node", "n", F.col("e.keys").alias("key"), F.col("e.places").alias("at"), (F.pmod(F.xxhash64("node"), F.col("e.parts"))).alias("part"), (F.col("e.parts") > 1).alias("several")
@@ -294,7 +316,7 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     rest = written(placed.join(open_, "key", "left_semi"), "open")
     others = rest.select("key", F.col("c").alias("d"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("at").alias("bat"))
     across = rest.join(others, (rest.key == others.key) & (F.col("c") < F.col("d")) & _allowed(rule)).drop(others.key)
-    pairs = _ordered(across, rule).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    pairs = _ordered(across, rule).join(first, ["a", "b"], "left_anti")
     pairs = written(pairs, "pairs")
     again = written(_verified(docs, sets, pairs, rule), "checked")
     of = connected_components(checked.where("linked").select("a", "b").union(again.where("linked").select("a", "b")))
