@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-KEPT_WORDS = 1_000_000
-KEPT_PAIRS = 1_000_000
+KEPT_WORDS = 600_000
+KEPT_PAIRS = 300_000
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-BATCH_CHARS = 8 << 20
+BATCH_CHARS = 4 << 20
+#: Characters of distinct units that are concatenated and indexed together (a longer unit stands alone).
+INDEX_CHARS = 1 << 19
 
 
 class Vocabulary:
@@ -222,8 +224,10 @@ class Encoder:
     def _learn(self, words: list[str]) -> None:
         split = [self.v.unit.findall(w) for w in words]
         units = sorted({u for parts in split for u in parts} - self.index.keys())
-        if units:
-            self._add(units, *self._new(units))
+        place = np.cumsum([len(u) for u in units]) // INDEX_CHARS
+        cuts = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(units)] if units else []
+        for first, end in zip(cuts, cuts[1:], strict=False):
+            self._add(units[first:end], *self._new(units[first:end]))
         several = [(w, p) for w, p in zip(words, split, strict=True) if len(p) > 1]
         if several:
             at = np.fromiter((self.index[u] for _, p in several for u in p), np.int64)
