@@ -110,8 +110,8 @@ def elements(text: str | None, rule: Rule) -> np.ndarray:
 
 
 def _node(found: np.ndarray) -> bytes:
-    """128 bits that stand for a set."""
-    return struct.pack(">QQ", int(_mixed(found).sum() & np.uint64(2**64 - 1)), int(_mixed(found * ODD[1]).sum() & np.uint64(2**64 - 1)))
+    """96 bits that stand for a set."""
+    return struct.pack(">QQ", int(_mixed(found).sum() & np.uint64(2**64 - 1)), int(_mixed(found * ODD[1]).sum() & np.uint64(2**64 - 1)))[:12]
 
 
 def _parity(found: np.ndarray) -> np.ndarray:
@@ -169,6 +169,8 @@ def boundary(slots: np.ndarray, sizes: np.ndarray, rule: Rule) -> int:
     return best
 
 
+#: Bits of a key that are kept: lists of two keys that agree in them only give more candidates.
+KEY = np.uint64((1 << 48) - 1)
 NO_BITS = np.zeros(0, np.int64)
 NO_KEYS = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
@@ -194,11 +196,11 @@ def _keys(found: np.ndarray, slots: np.ndarray, light: int, rule: Rule) -> tuple
         places.append(np.arange(len(first)))
     if not keys:
         return NO_KEYS
-    return np.concatenate(keys), np.concatenate(parts).astype(np.int32), np.concatenate(places).astype(np.int32)
+    return np.concatenate(keys) & KEY, np.concatenate(parts).astype(np.int32), np.concatenate(places).astype(np.int32)
 
 
 def _sets(docs: DataFrame, slots: np.ndarray, light: int, rule: Rule) -> DataFrame:
-    """doc_id, node (16 bytes), n, the keys and the parity bits of each document's set."""
+    """doc_id, node (12 bytes), n, the keys and the parity bits of each document's set."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -226,15 +228,17 @@ def _sets(docs: DataFrame, slots: np.ndarray, light: int, rule: Rule) -> DataFra
 
 
 def _paired(rows: DataFrame, *list_of: str) -> DataFrame:
-    """rows with the next entry of their list, its first one, and their number in it."""
+    """rows with the next entry of their list, its first one, their number in it, and whether it has over three."""
     order = Window.partitionBy(*list_of).orderBy("at", "n", "node")
     me = F.struct("node", "n", "at")
-    return rows.withColumns({"next": F.lead(me).over(order), "head": F.first(me).over(order), "r": F.row_number().over(order)})
+    found = rows.withColumns({"next": F.lead(me).over(order), "head": F.first(me).over(order), "r": F.row_number().over(order), "two": F.lead("n", 2).over(order), "three": F.lead("n", 3).over(order)})
+    many = F.when(F.col("r") == 1, F.col("three").isNotNull()).when(F.col("r") == 2, F.col("two").isNotNull()).when(F.col("r") == 3, F.col("next").isNotNull()).otherwise(True)
+    return found.withColumn("many", many).drop("two", "three")
 
 
 def _neighbours(lists: DataFrame) -> DataFrame:
     """Pairs of each entry with the first of its list and with the next one; split lists are joined at their parts' first entries."""
-    heads = _paired(lists.where("r = 1 and several").select("key", "node", "n", "at"), "key")
+    heads = _paired(lists.where("r = 1 and part > 0").select("key", "node", "n", "at"), "key")
     both = lists.select("node", "n", "at", "next", "head").union(heads.select("node", "n", "at", "next", "head"))
     other = both.select("node", "n", "at", F.explode(F.array("next", "head")).alias("o")).where("o is not null")
     return other.select("node", "n", "at", F.col("o.node").alias("b"), F.col("o.n").alias("bn"), F.col("o.at").alias("bat"))
@@ -293,7 +297,8 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     texts and texts of blanks only have no elements, link with nothing and are their own component. Rows with a null
     doc_id belong to the component of their text, whose id is the smallest id that isn't null (null if there is none).
     Rows of one doc_id with different texts are linked through their texts only. Hashes of n-grams have 64 bits and
-    those of sets 128.
+    those of sets 96; keys of lists have 48 (texts that share one by chance are compared
+    exactly like others).
     """
     slots, sizes = _census(docs, rule)
     light = boundary(slots, sizes, rule)
@@ -301,17 +306,16 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     sets = every.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max_by(F.struct("keys", "parts", "places", "bits"), F.size("bits")).alias("k"))
     sets = written(sets.select("node", "rep", "n", "k", F.col("k.bits").alias("bits")).withColumn("k", F.col("k").dropFields("bits")), "classes")
     entry = F.explode(F.arrays_zip("k.keys", "k.parts", "k.places"))
-    entries = sets.where("rep is not null").select("node", "n", entry.alias("e")).select(
-        "node", "n", F.col("e.keys").alias("key"), F.col("e.places").alias("at"), (F.pmod(F.xxhash64("node"), F.col("e.parts"))).alias("part"), (F.col("e.parts") > 1).alias("several")
-    )
+    part = F.when(F.col("e.parts") > 1, 1 + F.pmod(F.xxhash64("node"), F.col("e.parts"))).otherwise(0)  # 0: the list isn't split
+    entries = sets.where("rep is not null").select("node", "n", entry.alias("e")).select("node", "n", F.col("e.keys").alias("key"), F.col("e.places").alias("at"), part.alias("part"))
     # most elements are in one set only: their lists end here
-    lists = written(_paired(entries, "key", "part").where("next is not null or r > 1 or several"), "lists")
+    lists = written(_paired(entries, "key", "part").where("next is not null or r > 1 or part > 0"), "lists")
     first = written(_ordered(_neighbours(lists), rule), "pairs")
     checked = written(_verified(docs, sets, first, rule), "checked")
     of = connected_components(checked.where("linked"))
 
-    # lists that still hold several components: their members across components, each pair once
-    placed = lists.join(of, "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("c"))
+    # lists that still hold several components: their members across components, each pair once; all pairs of up to three members were compared
+    placed = lists.where("many or part > 0").join(of, "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("c"))
     open_ = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).where("c0 <> c1 and m > 3").select("key")
     rest = written(placed.join(open_, "key", "left_semi"), "open")
     others = rest.select("key", F.col("c").alias("d"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("at").alias("bat"))
