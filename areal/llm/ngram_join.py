@@ -175,7 +175,7 @@ NO_BITS = np.zeros(0, np.int64)
 NO_KEYS = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
 
-def _keys(found: np.ndarray, slots: np.ndarray, light: int, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _keys(found: np.ndarray, slots: np.ndarray, light: int, rule: Rule, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A set's keys, into how many parts the list of each is split, and how many elements come before it in the set's order."""
     a = len(found)
     keys, parts, places = [], [], []
@@ -192,7 +192,7 @@ def _keys(found: np.ndarray, slots: np.ndarray, light: int, rule: Rule) -> tuple
         count = slots[(found & np.uint64(SLOTS - 1)).astype(np.int64)]
         first = np.lexsort((found, count))[: int(rule.prefix(a))]
         keys.append(found[first])
-        parts.append(1 + count[first] // PART)
+        parts.append(1 + count[first] // part)
         places.append(np.arange(len(first)))
     if not keys:
         return NO_KEYS
@@ -201,6 +201,7 @@ def _keys(found: np.ndarray, slots: np.ndarray, light: int, rule: Rule) -> tuple
 
 def _sets(docs: DataFrame, slots: np.ndarray, light: int, rule: Rule) -> DataFrame:
     """doc_id, node (12 bytes), n, the keys and the parity bits of each document's set."""
+    part = PART  # bound here: workers import the module anew
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -209,7 +210,7 @@ def _sets(docs: DataFrame, slots: np.ndarray, light: int, rule: Rule) -> DataFra
             for text in b.column(1):
                 found = elements(text.as_py(), rule)
                 node = _node(found) if len(found) else None
-                k, p, at = NO_KEYS if node is None or node in done else _keys(found, slots, light, rule)
+                k, p, at = NO_KEYS if node is None or node in done else _keys(found, slots, light, rule, part)
                 bits.append(_parity(found) if node is not None and node not in done else NO_BITS)
                 done[node] = True  # equal sets have equal keys: once a batch will do
                 nodes.append(node)
@@ -314,9 +315,10 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     checked = written(_verified(docs, sets, first, rule), "checked")
     of = connected_components(checked.where("linked"))
 
-    # lists that still hold several components: their members across components, each pair once; all pairs of up to three members were compared
-    placed = lists.where("many or part > 0").join(of, "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("c"))
-    open_ = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).where("c0 <> c1 and m > 3").select("key")
+    # lists that still hold several components: their members across components, each pair once; all pairs of up to three members of an unsplit list,
+    # and of two of a split one, were compared
+    placed = lists.where("many or part > 0").join(of, "node", "left").select("key", "part", "node", "n", "at", F.coalesce("component", "node").alias("c"))
+    open_ = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m"), F.max("part").alias("part")).where("c0 <> c1 and (m > 3 or m = 3 and part > 0)").select("key")
     rest = written(placed.join(open_, "key", "left_semi"), "open")
     others = rest.select("key", F.col("c").alias("d"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("at").alias("bat"))
     across = rest.join(others, (rest.key == others.key) & (F.col("c") < F.col("d")) & _allowed(rule)).drop(others.key)

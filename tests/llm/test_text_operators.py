@@ -77,6 +77,20 @@ def test_join_links_what_brute_force_links(spark, rule):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+def test_join_of_split_lists_of_three(spark, monkeypatch):
+    """Every list is split, and most hold three members, of which two are linked and the first is not."""
+    monkeypatch.setattr(ngram_join, "PART", 1)
+    rule = ngram_join.Rule(3, 80)
+    docs = []
+    for g in range(16):
+        rare = [*(f"g{g}w{i}" for i in range(24)), "z0", "z1", "z2"]  # in all three; the passages x and y are in all groups, so their elements are no keys
+        near = [*rare, *(f"y{i}" for i in range(62))]
+        texts = [*rare, *(f"x{i}" for i in range(62))], near, [*near, f"g{g}last"]
+        docs += [(3 * g + k, " ".join(t)) for k, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in ngram_join.link(spark.createDataFrame(docs, "doc_id long, text string"), rule).collect()}
+    assert got == {i: i - 1 if i % 3 == 2 else i for i, _ in docs}
+
+
 def test_encoding_is_the_librarys(spark, odd):
     path = queries.vocabulary_path(queries.PIECE_BPE)
     model = library.SentencePieceProcessor(model_file=path)
