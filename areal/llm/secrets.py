@@ -1,6 +1,8 @@
 """Secret scans with a random forest that removes false findings.
 
-Candidates are long runs of key characters. Each has a few figures: length, transitions between kinds of characters, share
+Candidates are runs of 16 key characters or more; `=` ends one, save as padding, so that in `NAME=KEY` and `?name=KEY` the name
+and the sign are what comes before the key. Shorter values are never candidates: as their figures (transitions, distinct
+characters, words) do not tell them from ordinary words and numbers, passwords of under 16 characters are not found. Each has a few figures: length, transitions between kinds of characters, share
 covered by words, whether it lies in a path, and what its neighbours say. A random forest, trained on labelled findings, tells
 secrets from identifiers, hashes of files, paths and placeholders. Its trees are written out as SQL expressions, so that a
 scan is one pass over the texts, without a shuffle. DataFrame functions only.
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from areal.llm.common import WORD, let
 
-CORE = r"[A-Za-z0-9_+/=\-.]{16,}"
+CORE = r"[A-Za-z0-9_+/\-.]{16,}(?:={1,2}(?![A-Za-z0-9_+/\-.=]))?"
 MASK = "[SECRET]"
 #: Words that mark a secret's name, words that mark other identifiers, and words found inside harmless names.
 NAMES = "secret|token|passwd|password|api_?key|apikey|access_?key|private_?key|auth|credential|bearer|pwd|client_?secret"
@@ -53,11 +55,30 @@ def features(core: Column, before: Column, after: Column) -> Column:
     )
 
 
+def candidates(text: Column) -> Column:
+    """An array of structs (word, secret, before, after): all candidates of a whole text, in order, and what surrounds them."""
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+
+    def of(w: Column) -> Column:
+        at = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: (F.length(p["x"]) >= 16) & p["x"].rlike(r"[0-9_+/=\-.A-Z]") & p["x"].rlike(CORE))
+
+        def cores(p: Column) -> Column:
+            lead = F.concat_ws(" ", F.slice(w, F.greatest(p["i"] - 2, F.lit(1)), F.least(p["i"], F.lit(3))))
+            found = F.regexp_extract_all(p["x"], F.lit(CORE), F.lit(0))
+            return F.transform(F.array_distinct(found), lambda c: F.struct(p["i"].cast("int").alias("word"), c.alias("secret"), F.right(F.concat_ws(" ", lead, F.call_function("substring_index", p["x"], c, F.lit(1))), F.lit(120)).alias("before"), F.left(F.substring(p["x"], F.call_function("instr", p["x"], c) + F.length(c), F.lit(2)), F.lit(2)).alias("after")))
+
+        return F.flatten(F.transform(at, cores))
+
+    return let(words, of)
+
+
 def labelled_findings(spark: SparkSession, rows: int = 4000, seed: int = 11) -> DataFrame:
     """core, before, after, label: made findings of known kind, the same for a seed.
 
     The tables hold no labelled findings, so they are made: random keys behind names of secrets (1), and file hashes, uuids, paths,
-    dotted names, placeholders, word chains, numbers and random runs without a name (0). `rows` bounds the sample.
+    dotted names, placeholders, word chains, numbers and random runs without a name (0), in prose, assignments and addresses.
+    Each is put into a text and cut out as in a scan; what else is cut out there, such as a long name, counts as 0. `rows`
+    bounds the texts.
     """
     h = lambda k: F.sha2(F.concat_ws(":", F.lit(seed), "id", F.lit(k)), 256)
     pick = lambda k, n: F.pmod(F.xxhash64("id", F.lit(seed * 1000 + k)), F.lit(n)).cast("int")
@@ -68,7 +89,7 @@ def labelled_findings(spark: SparkSession, rows: int = 4000, seed: int = 11) ->
     chain = F.concat_ws("_", word(4), word(5), word(6), word(7), word(8))
     uuid = F.concat_ws("-", F.substring(h(9), 1, 8), F.substring(h(9), 9, 4), F.substring(h(9), 13, 4), F.substring(h(9), 17, 4), F.substring(h(9), 21, 12))
     folder = F.concat(F.lit("/"), word(10), F.lit("/"), word(11), F.lit("/"), word(12), F.lit("_"), F.substring(h(13), 1, 6), F.lit(".txt"))
-    name = of(["token", "secret", "password", "api_key", "apikey", "access_key", "auth_token", "client_secret", "private_key", "credential"], 14)
+    name = of(["token", "secret", "password", "api_key", "apikey", "access_key", "auth_token", "client_secret", "private_key", "credential", "API_KEY", "DB_PASSWORD", "AWS_SECRET_ACCESS_KEY"], 14)
     other = of(["commit", "sha256", "checksum", "revision", "etag", "uuid", "digest", "md5"], 15)
     sign = of([" = ", "=", ": ", " := "], 16)
     mark = of(['"', "'", '"', ""], 17)
@@ -79,12 +100,17 @@ def labelled_findings(spark: SparkSession, rows: int = 4000, seed: int = 11) ->
         .when(kind == 8, of(["your_api_key_here_please", "xxxxxxxxxxxxxxxxxxxxxxxx", "changeme_changeme_changeme", "example-token-placeholder", "0000000000000000000000000000"], 24))
         .when(kind == 9, chain).when(kind == 10, F.substring(F.translate(h(25), "abcdef", "123456"), 1, 16)).otherwise(random)
     )
+    page = F.concat(word(32), F.lit(" https://"), word(33), F.lit(".example.org/"), word(34), F.lit("/"), word(35), F.lit("?"), F.when(pick(36, 2) == 0, "").otherwise(F.concat(word(37), F.lit("="), pick(38, 100).cast("string"), F.lit("&"))))
+    linked = (pick(39, 4) == 0) & (kind.isin(4, 5, 8, 10, 11) | (kind < 4))  # in an address
     before = (
-        F.when((kind < 4) | (kind == 8), F.concat(word(26), F.lit(" "), name, sign, mark)).when(kind.isin(4, 5), F.concat(word(27), F.lit(" "), other, F.lit(" ")))
+        F.when(linked, F.concat(page, F.when((kind < 4) | (kind == 8), name).when(kind.isin(4, 5), other).otherwise(word(40)), F.lit("=")))
+        .when((kind < 4) | (kind == 8), F.concat(word(26), F.lit(" "), name, sign, mark)).when(kind.isin(4, 5), F.concat(word(27), F.lit(" "), other, of([" ", " ", "=", ": "], 41)))
         .when(kind == 6, F.concat(word(28), F.lit(" in "))).when(kind == 9, F.concat(word(29), sign, mark)).otherwise(F.concat(word(30), F.lit(" "), word(31), F.lit(" ")))
     )
-    made = spark.range(rows).select(core.alias("core"), before.alias("before"), F.when((kind < 4) | (kind == 8), mark).otherwise("").alias("after"), label.alias("label"))
-    return made.where(F.length("core") >= 16)
+    after = F.when(((kind < 4) | (kind == 8)) & ~linked, mark).otherwise("")
+    made = spark.range(rows).select(core.alias("core"), F.concat(before, core, after).alias("text"), label.alias("label"))
+    cut = made.select("core", "label", F.explode(candidates(F.col("text"))).alias("c"))
+    return cut.select(F.col("c.secret").alias("core"), "c.before", "c.after", F.when(F.col("c.secret") == F.col("core"), F.col("label")).otherwise(0).alias("label"))
 
 
 def _tree(node, leaf) -> str:
@@ -123,20 +149,8 @@ def findings(text: Column, trees: tuple[str, ...], threshold: float = 0.5) -> Co
 
     word: index of the word that holds the candidate. is_secret: score >= threshold.
     """
-    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
-
-    def of(w: Column) -> Column:
-        at = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: (F.length(p["x"]) >= 16) & p["x"].rlike(r"[0-9_+/=\-.A-Z]") & p["x"].rlike(CORE))
-
-        def cores(p: Column) -> Column:
-            lead = F.concat_ws(" ", F.slice(w, F.greatest(p["i"] - 2, F.lit(1)), F.least(p["i"], F.lit(3))))
-            found = F.regexp_extract_all(p["x"], F.lit(CORE), F.lit(0))
-            return F.transform(F.array_distinct(found), lambda c: F.struct(p["i"].cast("int").alias("word"), c.alias("secret"), F.right(F.concat_ws(" ", lead, F.call_function("substring_index", p["x"], c, F.lit(1))), F.lit(120)).alias("before"), F.left(F.substring(p["x"], F.call_function("instr", p["x"], c) + F.length(c), F.lit(2)), F.lit(2)).alias("after")))
-
-        return F.flatten(F.transform(at, cores))
-
     scored = F.transform(
-        let(words, of),
+        candidates(text),
         lambda c: F.struct(c["word"].alias("word"), c["secret"].alias("secret"), let(features(c["secret"], c["before"], c["after"]), lambda f: _sum(trees, f)).alias("score")),
     )
     return F.transform(scored, lambda c: F.struct(c["word"].alias("word"), c["secret"].alias("secret"), c["score"].alias("score"), (c["score"] >= threshold).alias("is_secret")))

@@ -161,6 +161,18 @@ def test_secrets(spark):
     assert {r.doc_id: r.text for r in secrets.redact(docs).collect()} == dict(rows) | {1: 'text token = "[SECRET]" more'}
 
 
+def test_secrets_in_bare_assignments_and_addresses(spark):
+    key, mixed = "9f3c64439e3e49cf46b2d7c90f3602a3d0b907ff", "Zk3vQ9xLw2TnB7yRc5HdM1sPf8Gj4KaX"
+    kept = {10: f"commit={key}", 11: f"see https://a.org/b/page?id={key} there", 12: "path=/usr/share/dictionary/words_list.txt"}
+    found = {
+        1: (f"API_KEY={key}", key), 2: (f"x password={mixed}", mixed), 3: (f"see https://a.org/b?access_token={key} there", key), 4: (f"https://a.org/b?x=1&token={key}&y=2", key),
+        5: (f"AWS_SECRET_ACCESS_KEY={mixed}=", mixed + "="),
+    }
+    docs = spark.createDataFrame([*kept.items(), *((i, t) for i, (t, _) in found.items())], "doc_id long, text string")
+    assert {r.doc_id: r.secrets for r in secrets.scan(docs).collect()} == {i: [] for i in kept} | {i: [k] for i, (_, k) in found.items()}
+    assert {r.doc_id: r.text for r in secrets.redact(docs).collect()} == kept | {i: t.replace(k, "[SECRET]") for i, (t, k) in found.items()}
+
+
 def test_url_aliases(spark):
     rows = [(1, "http://a.example.com/en/1", "<link href='/x' rel=canonical>"), (2, "https://b.org/1?x=1#t", '<META http-equiv="refresh" content="0; url=http://c.net/es/1">'), (3, "http://c.net/es/1", ""), (4, None, None), (5, "nope", "<p>"), (6, "http://A.Example.com/x", None)]
     got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
