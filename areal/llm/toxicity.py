@@ -110,28 +110,28 @@ def _train(samples: list[bytes], size: int) -> bytes:
         return b" ".join(samples)[-size:] or b" "
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: float = 0.5) -> np.ndarray:
     x = np.hstack([np.ones((len(x), 1)), x])
     w = np.zeros(x.shape[1])
     penalty = ridge * np.eye(x.shape[1])
     penalty[0, 0] = 1e-3
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve((x * (weights * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (weights * (y - p)) - penalty @ w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def fit(rows: list[tuple[int, str | None, int]], dictionary_bytes: int = 8192) -> Model:
-    """A model from (fold, text, label) rows. Folds 0 and 1 train the dictionaries, the others calibrate.
+def fit(rows: list[tuple[int, str | None, int, float]], dictionary_bytes: int = 8192) -> Model:
+    """A model from (fold, text, label, weight) rows. Folds 0 and 1 train the dictionaries, the others calibrate, by weight.
 
     The toxic dictionary learns from what sets toxic text apart: the windows that recur in toxic rows, at several times
     the rate that they have in ordinary rows. The ordinary one learns from whole ordinary texts.
     """
     texts: dict[int, list[list[bytes]]] = {0: [], 1: []}
-    for fold, text, label in rows:
+    for fold, text, label, _ in rows:
         if fold in (0, 1):
             texts[int(label)].append(WINDOW.findall((text or "").lower().encode()))
     spread = {y: Counter(w for words in texts[y] for w in set(words)) for y in (0, 1)}
@@ -140,11 +140,11 @@ def fit(rows: list[tuple[int, str | None, int]], dictionary_bytes: int = 8192) -
     toxic = _train([spelled(w) for words in texts[1] for w in words if w in apart], dictionary_bytes)
     ordinary = _train([b"".join(map(spelled, words)) for words in texts[0] if words], 2 * dictionary_bytes)
     draft = Model(toxic, ordinary, (), (0.0,))
-    held = [(text, int(label)) for fold, text, label in rows if fold not in (0, 1)] or [(t, int(y)) for _, t, y in rows]
+    held = [(text, int(label), w) for fold, text, label, w in rows if fold not in (0, 1)] or [(t, int(y), w) for _, t, y, w in rows]
     y = np.array([x[1] for x in held], float)
     if not len(held) or y.min() == y.max():
         return Model(toxic, ordinary, (), (math.log((y.sum() + 1) / (len(y) - y.sum() + 1)),))
-    windows = [np.array([draft.scorer().difference(w) for w in WINDOW.findall((t or "").lower().encode())]) for t, _ in held]
+    windows = [np.array([draft.scorer().difference(w) for w in WINDOW.findall((t or "").lower().encode())]) for t, _, _ in held]
     # thresholds whose hits separate the held rows best
     gains = []
     for t in np.arange(0.0, 1.0, 0.025):
@@ -152,23 +152,27 @@ def fit(rows: list[tuple[int, str | None, int]], dictionary_bytes: int = 8192) -
         gains.append((hit[y == 1].mean() - FALSE_COST * hit[y == 0].mean(), float(t)))
     thresholds = tuple(sorted(t for _, t in sorted(gains)[-2:]))
     model = Model(toxic, ordinary, thresholds, (0.0,))
-    x = np.array([model.scorer().figures(t) for t, _ in held])
-    return Model(toxic, ordinary, thresholds, tuple(_logistic(x, y).tolist()))
+    x = np.array([model.scorer().figures(t) for t, _, _ in held])
+    return Model(toxic, ordinary, thresholds, tuple(_logistic(x, y, np.array([w for _, _, w in held])).tolist()))
 
 
-def sample_of(docs: DataFrame, labels: DataFrame, most: int = 6000) -> list[tuple[int, str | None, int]]:
-    """(fold, text, label) of at most `most` labelled rows outside the held-out quarter; whole texts.
+def sample_of(docs: DataFrame, labels: DataFrame, most: int = 6000) -> list[tuple[int, str | None, int, float]]:
+    """(fold, text, label, weight) of at most `most` labelled rows outside the held-out quarter; whole texts.
 
     Labelled rows are drawn by a hash of their id, toxic and ordinary ones at half each. fold: crc32(doc_id) mod 4.
+    weight: makes up for the classes' rates of drawing, so that the mix is that of all labelled rows; 1 if all are drawn.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.withColumn("fold", (F.crc32(F.col("doc_id").cast("string")) % 4).cast("int")).where("fold <> 2")
     mixed = F.md5(F.col("doc_id").cast("string"))
+    total = {r.toxic: r.n for r in known.groupBy((F.col("toxic") == 1).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    taken = {0: min(total.get(0, 0), most - most // 2), 1: min(total.get(1, 0), most // 2)}
+    weight = {y: total[y] / taken[y] * sum(taken.values()) / sum(total.values()) for y in taken if taken[y]}
     drawn = known.where("toxic = 1").orderBy(mixed).limit(most // 2).unionByName(known.where("toxic <> 1").orderBy(mixed).limit(most - most // 2))
     assert small(drawn, most)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")
     unique = rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"), F.max("fold").alias("fold"))
-    return [(r.fold, r.text, int(r.toxic == 1)) for r in unique.orderBy("doc_id").collect()]
+    return [(r.fold, r.text, int(r.toxic == 1), weight[int(r.toxic == 1)]) for r in unique.orderBy("doc_id").collect()]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -133,6 +133,17 @@ def test_toxicity_on_held_out_rows(spark):
     assert right / len(held) >= 0.9 and all(0 <= r.score <= 1 for r in held)
 
 
+def test_toxicity_scores_do_not_depend_on_the_rates_of_drawing(spark):
+    """One toxic row in nine; the words tell nothing, so scores are near the share of toxic rows, however many rows are drawn."""
+    docs = spark.createDataFrame([(i, f"plain words here {'odd' if i % 2 else 'even'}") for i in range(3600)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 9 == 0).cast("int").alias("toxic"))
+    for most in (6000, 400):
+        rows = toxicity.sample_of(docs, labels, most)
+        share = sum(w for _, _, y, w in rows if y) / sum(w for *_, w in rows)
+        assert len(rows) <= most and abs(share - 1 / 9) < 0.02
+        assert abs(toxicity.fit(rows).scorer().score("plain words here odd") - 1 / 9) < 0.05
+
+
 def test_neighbours(spark):
     vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
     got = ann.nearest(vectors).collect()
