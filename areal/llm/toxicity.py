@@ -16,15 +16,15 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from areal.llm.common import read, small
+from areal.llm.common import dropped, held, read, sliced, trim, written
 
 WINDOW = re.compile(rb"[A-Za-z\x80-\xff]+")
 #: Bytes of the dictionary's end before each window.
@@ -34,7 +34,7 @@ APART = 12.0
 #: What a hit in an ordinary row costs, in hits in toxic ones, when thresholds are chosen.
 FALSE_COST = 3.0
 LEVEL = 6
-KEPT_WINDOWS = 500_000
+KEPT_WINDOWS = 400_000
 
 
 @dataclass(frozen=True)
@@ -47,7 +47,7 @@ class Model:
     weights: tuple[float, ...]
 
     def scorer(self) -> Scorer:
-        return _scorer(self)
+        return held(("toxicity", self), lambda: Scorer(self))
 
 
 class Scorer:
@@ -86,11 +86,6 @@ def spelled(window: bytes) -> bytes:
     return b"".join(padded[i : i + 3] for i in range(len(padded) - 2))
 
 
-@lru_cache(maxsize=2)
-def _scorer(model: Model) -> Scorer:
-    return Scorer(model)
-
-
 def _packer(dictionary: bytes) -> zstandard.ZstdCompressor:
     """Uses the dictionary's content only: letter frequencies of the two classes are no sign of toxicity."""
     own = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -140,11 +135,12 @@ def fit(rows: list[tuple[int, str | None, int, float]], dictionary_bytes: int =
     toxic = _train([spelled(w) for words in texts[1] for w in words if w in apart], dictionary_bytes)
     ordinary = _train([b"".join(map(spelled, words)) for words in texts[0] if words], 2 * dictionary_bytes)
     draft = Model(toxic, ordinary, (), (0.0,))
-    held = [(text, int(label), w) for fold, text, label, w in rows if fold not in (0, 1)] or [(t, int(y), w) for _, t, y, w in rows]
-    y = np.array([x[1] for x in held], float)
-    if not len(held) or y.min() == y.max():
+    kept = [(text, int(label), w) for fold, text, label, w in rows if fold not in (0, 1)] or [(t, int(y), w) for _, t, y, w in rows]
+    y = np.array([x[1] for x in kept], float)
+    if not len(kept) or y.min() == y.max():
         return Model(toxic, ordinary, (), (math.log((y.sum() + 1) / (len(y) - y.sum() + 1)),))
-    windows = [np.array([draft.scorer().difference(w) for w in WINDOW.findall((t or "").lower().encode())]) for t, _, _ in held]
+    own = Scorer(draft)
+    windows = [np.array([own.difference(w) for w in WINDOW.findall((t or "").lower().encode())]) for t, _, _ in kept]
     # thresholds whose hits separate the held rows best
     gains = []
     for t in np.arange(0.0, 1.0, 0.025):
@@ -152,50 +148,67 @@ def fit(rows: list[tuple[int, str | None, int, float]], dictionary_bytes: int =
         gains.append((hit[y == 1].mean() - FALSE_COST * hit[y == 0].mean(), float(t)))
     thresholds = tuple(sorted(t for _, t in sorted(gains)[-2:]))
     model = Model(toxic, ordinary, thresholds, (0.0,))
-    x = np.array([model.scorer().figures(t) for t, _, _ in held])
-    return Model(toxic, ordinary, thresholds, tuple(_logistic(x, y, np.array([w for _, _, w in held])).tolist()))
+    own = Scorer(model)
+    x = np.array([own.figures(t) for t, _, _ in kept])
+    return Model(toxic, ordinary, thresholds, tuple(_logistic(x, y, np.array([w for _, _, w in kept])).tolist()))
 
 
-def sample_of(docs: DataFrame, labels: DataFrame, most: int = 6000) -> list[tuple[int, str | None, int, float]]:
-    """(fold, text, label, weight) of at most `most` labelled rows outside the held-out quarter; whole texts.
+def sample_of(docs: DataFrame, labels: DataFrame, most: int = 6000, most_bytes: int = 64 << 20) -> list[tuple[int, str | None, int, float]]:
+    """(fold, text, label, weight) of labelled rows outside the held-out quarter: at most `most` rows and `most_bytes` of text.
 
-    Labelled rows are drawn by a hash of their id, toxic and ordinary ones at half each. fold: crc32(doc_id) mod 4.
-    weight: makes up for the classes' rates of drawing, so that the mix is that of all labelled rows; 1 if all are drawn.
+    Rows are drawn by a hash of their id, toxic and ordinary ones at half each, and texts are whole: those that would go beyond a class's
+    half of the bytes are left out. fold: crc32(doc_id) mod 4. weight: makes up for the classes' rates of drawing, so that
+    the mix is that of all labelled rows; 1 if all are drawn. A row labelled both ways is toxic.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.withColumn("fold", (F.crc32(F.col("doc_id").cast("string")) % 4).cast("int")).where("fold <> 2")
     mixed = F.md5(F.col("doc_id").cast("string"))
     total = {r.toxic: r.n for r in known.groupBy((F.col("toxic") == 1).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
-    taken = {0: min(total.get(0, 0), most - most // 2), 1: min(total.get(1, 0), most // 2)}
-    weight = {y: total[y] / taken[y] * sum(taken.values()) / sum(total.values()) for y in taken if taken[y]}
     drawn = known.where("toxic = 1").orderBy(mixed).limit(most // 2).unionByName(known.where("toxic <> 1").orderBy(mixed).limit(most - most // 2))
-    assert small(drawn, most)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")
-    unique = rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"), F.max("fold").alias("fold"))
-    return [(r.fold, r.text, int(r.toxic == 1), weight[int(r.toxic == 1)]) for r in unique.orderBy("doc_id").collect()]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")  # `most` rows at most
+    short = rows.where(F.octet_length(F.coalesce("text", F.lit(""))) <= most_bytes // 8)
+    unique = written(short.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"), F.max("fold").alias("fold")), "sample")
+    sizes = unique.select("doc_id", (F.col("toxic") == 1).cast("int").alias("y"), F.octet_length(F.coalesce("text", F.lit(""))).alias("n"), mixed.alias("place")).orderBy("place").collect()
+    room, taken = {0: most_bytes // 2, 1: most_bytes // 2}, []
+    for r in sizes:
+        room[r.y] -= r.n
+        if room[r.y] >= 0:
+            taken.append((r.doc_id, r.y))
+    each = {k: sum(y == k for _, y in taken) for k in (0, 1)}
+    weight = {y: total[y] / n * len(taken) / sum(total.values()) for y, n in each.items() if n}
+    ids = unique.sparkSession.createDataFrame([(i,) for i, _ in taken], "doc_id long")
+    found = [(r.fold, r.text, int(r.toxic == 1), weight[int(r.toxic == 1)]) for r in unique.join(F.broadcast(ids), "doc_id", "left_semi").orderBy("doc_id").collect()]
+    dropped(unique)
+    return found
+
+
+def scored(text: Column, model: Model) -> Column:
+    """A column: the score of each whole text. Only texts go to Python and only numbers come back."""
+
+    @F.pandas_udf("double")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = model.scorer()
+        for b in batches:
+            yield pd.Series([own.score(x) for x in b], dtype=float)
+        trim()
+
+    return of(text)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score (0 to 1) of every whole text, in one pass; null and empty texts get the score of no window at all."""
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.scorer()
-        for b in batches:
-            found = [own.score(x.as_py()) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], names=["doc_id", "score"])
+        for b in sliced(batches, 1):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([own.score(x.as_py()) for x in b.column(1)], pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
 def keep_ordinary(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
     """docs' rows whose text scores below threshold, with all their columns; nulls and repeated rows count by their text."""
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model.scorer()
-        for b in batches:
-            yield b.filter(pa.array([own.score(x.as_py()) < threshold for x in b.column("text")], pa.bool_()))
-
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.where(scored(F.col("text"), model) < threshold)
 
 
 def model_for(spark, sf_dir: str, docs: DataFrame | None = None) -> Model:

@@ -38,41 +38,95 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]] = RULE
 
 
 def address(url: Column) -> Column:
-    """The form in which addresses are nodes: scheme and host in lower case, no fragment; null without `://`."""
-    parts = F.regexp_extract(url, r"(?s)^\s*([A-Za-z][A-Za-z0-9+.\-]*)://", 1)
-    tail = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
-    return F.when(parts != "", F.concat(F.lower(parts), F.lit("://"), host(url), F.when(tail == "", F.lit("/")).otherwise(tail)))
-
-
-def resolved(link: Column, base: Column) -> Column:
-    """A link as an address; relative ones follow the page's url."""
-    link = F.trim(link)
-    root = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
-    folder = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)", 1)
-    folder = F.when(F.endswith(folder, F.lit("/")), folder).otherwise(F.concat(folder, F.lit("/")))
-    whole = (
-        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), link)
-        .when(F.startswith(link, F.lit("//")), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), link))
-        .when(F.startswith(link, F.lit("/")), F.concat(root, link))
-        .when(link.rlike(r"^(?:#|$|[A-Za-z][A-Za-z0-9+.\-]*:)"), F.lit(None).cast("string"))
-        .otherwise(F.concat(folder, link))
-    )
-    return address(whole)
+    """The form in which addresses are nodes; null without `://`.
+
+    Scheme and host are in lower case, the scheme's own port and the fragment go, `.` and `..` are resolved in the path, an empty path is
+    `/`, and percent escapes have upper-case digits. Escapes are not decoded and queries are kept as they are otherwise.
+    """
+
+    def made(p: Column) -> Column:
+        whole = F.concat(p["scheme"], F.lit("://"), p["host"], _without_dots(p["path"]), p["query"])
+        return F.when(p["scheme"] != "", _upper_escapes(whole))
+
+    scheme = F.lower(F.regexp_extract(url, r"(?s)^\s*([A-Za-z][A-Za-z0-9+.\-]*)://", 1))
+    parts = F.struct(scheme.alias("scheme"), _own_host(scheme, host(url)).alias("host"), path(url).alias("path"), F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1).alias("query"))
+    return F.when(url.contains("://"), let(parts, made))
+
+
+def _own_host(scheme: Column, host: Column) -> Column:
+    port = F.when(scheme == "http", F.lit(r":(?:80)?$")).when(scheme == "https", F.lit(r":(?:443)?$")).otherwise(F.lit(r":$"))
+    return F.regexp_replace(host, port, F.lit(""))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path whose `.` and `..` segments are resolved; above the root there is nothing."""
+    segments = F.split(F.when(path == "", F.lit("/")).otherwise(path), "/", -1)
+    empty = F.array().cast("array<string>")
+
+    def step(done: Column, x: Column) -> Column:
+        return F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+
+    def joined(s: Column) -> Column:
+        last = F.element_at(s, -1)
+        names = F.aggregate(F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), empty, step)
+        return F.concat(F.lit("/"), F.array_join(names, "/"), F.when(last.isin(".", "..") & (F.size(names) > 0), F.lit("/")).otherwise(F.lit("")))
+
+    return F.when(path.rlike(r"(?:^|/)\.{1,2}(?:/|$)"), let(segments, joined)).when(path == "", F.lit("/")).otherwise(path)
+
+
+def _upper_escapes(url: Column) -> Column:
+    first = F.split(url, "%", -1)
+    fixed = F.transform(first, lambda x, i: F.when((i > 0) & x.rlike("^[0-9A-Fa-f]{2}"), F.concat(F.upper(F.substring(x, 1, 2)), F.substring(x, 3, 2147483647))).otherwise(x))
+    return F.when(url.rlike("%[0-9A-F]?[a-f]|%[a-f]"), F.array_join(fixed, "%")).otherwise(url)
+
+
+def target(link: Column, base: Column) -> Column:
+    """The url that a link on a page with the url base means; null for links that lead nowhere else (fragments, `mailto:`)."""
+
+    def of(link: Column) -> Column:
+        root = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+        folder = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)", 1)
+        page = F.regexp_extract(base, r"(?s)^([^?#]*)", 1)
+        return (
+            F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), link)
+            .when(F.startswith(link, F.lit("//")), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), link))
+            .when(F.startswith(link, F.lit("/")), F.concat(root, link))
+            .when(F.startswith(link, F.lit("?")), F.concat(page, link))
+            .when(link.rlike(r"^(?:#|$|[A-Za-z][A-Za-z0-9+.\-]*:)"), F.lit(None).cast("string"))
+            .otherwise(F.concat(folder, F.when(F.endswith(folder, F.lit("/")), F.lit("")).otherwise(F.lit("/")), link))
+        )
+
+    return let(F.trim(link), of)
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute's value; empty if the tag has none."""
+    found = F.regexp_extract(tag, rf"(?is)[\s\"'/]{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1)
+    return F.replace(F.regexp_replace(found, r"^[\"']|[\"']$", ""), F.lit("&amp;"), F.lit("&"))
+
+
+#: Tags that can name an alias or the base of links; whole, however long.
+TAGS = r"(?is)<(?:link|meta|base)\b[^>]*+>"
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """Edges (a, b) between a page's address and where its canonical link and its redirect point."""
-    html = F.coalesce("html", F.lit(""))
-    tags = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]{0,4000}>"), F.lit(0)), lambda t: t.rlike(r"(?is)\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b|http-equiv\s*=\s*[\"']?refresh"))
+    """Edges (a, b) between a page's address and where its canonical links and its refreshes point.
+
+    Links are resolved against the first `<base href>`, itself against the page's url. A tag is read whole; one that never ends is none.
+    """
+    tags = F.regexp_extract_all(F.col("html"), F.lit(TAGS), F.lit(0))
 
-    def target(tag: Column) -> Column:
-        href = F.regexp_extract(tag, r"(?is)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", 0)
-        href = F.regexp_replace(href, r"(?is)^href\s*=\s*[\"']?|[\"']$", "")
-        refresh = F.regexp_extract(tag, r"(?is)\bcontent\s*=\s*[\"']?\s*[\d.]*\s*[;,]?\s*url\s*=\s*['\"]?([^\"'>]*)", 1)
-        return F.replace(F.when(href != "", href).otherwise(refresh), F.lit("&amp;"), F.lit("&"))
+    def links(t: Column) -> Column:
+        canonical = F.filter(t, lambda x: x.rlike(r"(?is)^<link") & F.lower(_attribute(x, "rel")).rlike(r"(?:^|\s)canonical(?:\s|$)"))
+        refresh = F.filter(t, lambda x: x.rlike(r"(?is)^<meta") & (F.lower(_attribute(x, "http-equiv")) == "refresh"))
+        to = F.transform(refresh, lambda x: F.regexp_extract(F.regexp_extract(_attribute(x, "content"), r"(?is)^\s*[\d.]*\s*[;,]?\s*url\s*=\s*(.*)$", 1), r"(?s)^['\"]?([^'\"]*)", 1))
+        return F.filter(F.concat(F.transform(canonical, lambda x: _attribute(x, "href")), to), lambda x: x != "")
 
-    links = pages.where("url is not null").select(F.col("url"), F.explode(tags).alias("tag")).select(address(F.col("url")).alias("a"), resolved(target(F.col("tag")), F.col("url")).alias("b"))
-    return links.where("a is not null and b is not null and a <> b")
+    base = F.filter(F.transform(F.filter(F.col("tags"), lambda x: x.rlike(r"(?is)^<base")), lambda x: _attribute(x, "href")), lambda x: x != "")
+    with_tags = pages.where("url is not null and html is not null").where(F.col("html").rlike(r"(?i)canonical|refresh")).select("url", tags.alias("tags"))
+    own = with_tags.select("url", F.get(base, F.lit(0)).alias("base"), F.explode(links(F.col("tags"))).alias("link"))
+    found = own.select(address(F.col("url")).alias("a"), address(target(F.col("link"), F.coalesce(target(F.col("base"), F.col("url")), F.col("url")))).alias("b"))
+    return found.where("a is not null and b is not null and a <> b")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, edges: DataFrame | None = None) -> DataFrame:
@@ -81,7 +135,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, edges: Da
     One row for each row of pages. edges (a, b) adds alias edges known elsewhere, as urls. Null urls and urls without `://` have an
     empty host and path, fit no rule and are allowed. Without a rule, the explicit verdicts in the page's group decide,
     allow before block, and a page without a group is allowed. A group's decision comes from its addresses, whether
-    crawled or only linked. Other columns are ignored.
+    crawled or only linked. Repeated rows are judged each, an empty table gives no rows, and other columns are ignored.
     """
     chosen = pages.select("page_id", "url", "html")
     links = alias_edges(chosen)
@@ -93,8 +147,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, edges: Da
     explicit = of.withColumn("v", verdict(rule_of(host(F.col("node")), path(F.col("node")), rules)))
     decided = explicit.groupBy("component").agg(F.min("v").alias("group_verdict"))  # allow sorts before block
     members = of.join(decided, "component").select(F.col("node").alias("_address"), F.col("component").alias("alias_of"), "group_verdict")
-    rows = chosen.select("page_id", address(F.col("url")).alias("_address"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    rows = chosen.select("page_id", "url", "html", address(F.col("url")).alias("_address"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
+    # pages without an address have a key of their own each, which no member has, so that they don't all go to one task
+    alone = F.concat(F.lit("-"), F.xxhash64("page_id", "url", "html").cast("string"))
+    rows = rows.withColumn("_address", F.coalesce("_address", alone)).drop("url", "html").withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     return rows.join(members, "_address", "left").select(
         "page_id", "host", "path", "rule", F.coalesce(verdict(F.col("rule")), F.col("group_verdict"), F.lit("allow")).alias("verdict"), "alias_of"
     )
