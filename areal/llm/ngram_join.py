@@ -10,7 +10,7 @@ Lists are not expanded into pairs. An entry's position in its set's order bounds
 there; members of a list are ordered by it, so that those with the fewest rare elements of their own come first. First, each
 member is compared exactly with its list's first one and with its neighbour, and the links found are contracted to
 components. Only lists that still hold several components are compared further: members of different components whose
-positions allow a link, each pair once. Before sets are fetched for an exact comparison, parity bits rule out most pairs: a bit
+positions allow a link, each pair once, in blocks of a bounded number of members. Before sets are fetched for an exact comparison, parity bits rule out most pairs: a bit
 is the parity of the elements that fall on it, so two sets differ in at least as many elements as in bits. So a list of thousands of near copies costs about as many comparisons as it
 has members, and no link that joins two components is lost.
 """
@@ -21,7 +21,6 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from itertools import combinations
 from math import comb
 
@@ -31,10 +30,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from areal.llm.common import small, written
+from areal.llm.common import dropped, held, sliced, small, written
 from areal.llm.components import connected_components
 
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
 #: Slots of the table of element counts, and how many entries a list part has before it is split.
 SLOTS = 1 << 22
 PART = 1024
@@ -79,9 +78,8 @@ class _Words(dict):
         return found
 
 
-@lru_cache(maxsize=1)
 def _words() -> _Words:
-    return _Words()
+    return held("words", _Words)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -130,7 +128,7 @@ def _census(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, sizes = np.zeros(SLOTS, np.int32), np.zeros(LIGHT_MOST, np.int64)
-        for b in batches:
+        for b in sliced(batches, 0):
             for text in b.column(0):
                 found = elements(text.as_py(), rule)
                 slots[(found & np.uint64(SLOTS - 1)).astype(np.int64)] += 1  # elements of a set are distinct: few share a slot
@@ -204,7 +202,7 @@ def _sets(docs: DataFrame, slots: np.ndarray, light: int, rule: Rule) -> DataFra
     part = PART  # bound here: workers import the module anew
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 1):
             nodes, sizes, keys, parts, places, bits = [], [], [], [], [], []
             done: dict[bytes, bool] = {}
             for text in b.column(1):
@@ -259,7 +257,7 @@ def _ordered(pairs: DataFrame, rule: Rule) -> DataFrame:
 
 def _possible(sets: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) that parity bits don't rule out, with the documents that have their sets."""
-    me = sets.where("rep is not null").select("node", "n", "rep", "bits")
+    me = sets.select("node", "n", "rep", "bits")
     a, b = (me.select(*[F.col(x).alias(f"{x}_{end}") for x in me.columns]) for end in "ab")
     both = pairs.join(a, F.col("a") == F.col("node_a")).join(b, F.col("b") == F.col("node_b"))
     apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
@@ -269,21 +267,31 @@ def _possible(sets: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
-    """Which of pairs (a, b) are linked, by the exact overlap of the sets of both; those surely not linked are left out."""
+    """Which of pairs (a, b) are linked, by the exact overlap of the sets of both; those surely not linked are left out.
+
+    Sets are made anew from the texts of the documents that stand for them; a set that only rows without an id have, from those rows.
+    """
     pairs = written(_possible(sets, pairs, rule), "possible")
     ids = pairs.select(F.col("rep_a").alias("doc_id")).union(pairs.select("rep_b")).distinct()
-    wanted = F.broadcast(ids) if small(ids, BROADCAST_IDS) else ids
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
+    named = ids.where("doc_id is not null")
+    nameless = not ids.where("doc_id is null").isEmpty()
+    wanted = F.broadcast(named) if small(named, BROADCAST_IDS) else named
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = texts.join(wanted, "doc_id", "left_semi")
+    if nameless:
+        rows = rows.union(texts.where("doc_id is null"))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for first in range(0, b.num_rows, 1024):
-                found = [x for x in (elements(t.as_py(), rule) for t in b.column(1).slice(first, 1024)) if len(x)]
-                offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32))
-                flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(map(_node, found), pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["node", "elements"])
+        for b in sliced(batches, 1):
+            found = {_node(x): x for x in (elements(t.as_py(), rule) for t in b.column(1)) if len(x)}
+            offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in found.values()]))).astype(np.int32))
+            flat = np.concatenate(list(found.values())).view(np.int64) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["node", "elements"])
 
     full = rows.mapInArrow(listed, "node binary, elements array<long>")
+    if nameless:  # of the rows without an id, only those in a pair
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        full = full.join(F.broadcast(nodes) if small(nodes, BROADCAST_IDS) else nodes, "node", "left_semi").groupBy("node").agg(F.first("elements").alias("elements"))
     left = full.select(F.col("node").alias("a"), F.col("elements").alias("ea"))
     right = full.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
     overlap = F.size(F.array_intersect("ea", "eb"))
@@ -291,12 +299,27 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, rule: Rule) ->
     return pairs.join(left, "a").join(right, "b").select("a", "b", linked.alias("linked")).groupBy("a", "b").agg(F.max("linked").alias("linked"))
 
 
+def _across(open_: DataFrame, rule: Rule, block: int) -> DataFrame:
+    """Candidate pairs (a, b) of members of one list in different components, each pair once.
+
+    open_: key, node, n, at, c (component) and m (members of the list). A list's members are dealt into blocks of about `block`
+    members, and blocks meet in pairs, so that no task gets a whole list.
+    """
+    blocks = F.ceil(F.col("m") / block)
+    dealt = open_.withColumn("blocks", blocks.cast("int")).withColumn("p", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    left = dealt.select("key", F.col("p").alias("p"), F.explode(F.sequence(F.col("p"), F.col("blocks") - 1)).alias("q"), "node", "n", "at", "c")
+    right = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("p"))).alias("p"), F.col("p").alias("q"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("at").alias("bat"), F.col("c").alias("d"))
+    once = F.when(F.col("p") == F.col("q"), F.col("c") < F.col("d")).otherwise(F.col("c") != F.col("d"))
+    return _ordered(left.join(right, ["key", "p", "q"]).where(once), rule)
+
+
 def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles (set size) and component_id: the smallest doc_id reachable by links, itself included.
 
     docs: doc_id, text; other columns are ignored, whatever their names. One row for each row of docs. Null and empty
     texts and texts of blanks only have no elements, link with nothing and are their own component. Rows with a null
-    doc_id belong to the component of their text, whose id is the smallest id that isn't null (null if there is none).
+    doc_id link by their text like others; a component's id is the smallest id that isn't null (null if there is none). An empty
+    table gives no rows.
     Rows of one doc_id with different texts are linked through their texts only. Hashes of n-grams have 64 bits and
     those of sets 96; keys of lists have 48 (texts that share one by chance are compared
     exactly like others).
@@ -308,7 +331,7 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     sets = written(sets.select("node", "rep", "n", "k", F.col("k.bits").alias("bits")).withColumn("k", F.col("k").dropFields("bits")), "classes")
     entry = F.explode(F.arrays_zip("k.keys", "k.parts", "k.places"))
     part = F.when(F.col("e.parts") > 1, 1 + F.pmod(F.xxhash64("node"), F.col("e.parts"))).otherwise(0)  # 0: the list isn't split
-    entries = sets.where("rep is not null").select("node", "n", entry.alias("e")).select("node", "n", F.col("e.keys").alias("key"), F.col("e.places").alias("at"), part.alias("part"))
+    entries = sets.select("node", "n", entry.alias("e")).select("node", "n", F.col("e.keys").alias("key"), F.col("e.places").alias("at"), part.alias("part"))
     # most elements are in one set only: their lists end here
     lists = written(_paired(entries, "key", "part").where("next is not null or r > 1 or part > 0"), "lists")
     first = written(_ordered(_neighbours(lists), rule), "pairs")
@@ -317,19 +340,19 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     # lists that still hold several components: their members across components, each pair once; all pairs of up to three members of an unsplit list,
     # and of two of a split one, were compared
-    placed = lists.where("many or part > 0").join(of, "node", "left").select("key", "part", "node", "n", "at", F.coalesce("component", "node").alias("c"))
-    open_ = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m"), F.max("part").alias("part")).where("c0 <> c1 and (m > 3 or m = 3 and part > 0)").select("key")
-    rest = written(placed.join(open_, "key", "left_semi"), "open")
-    others = rest.select("key", F.col("c").alias("d"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("at").alias("bat"))
-    across = rest.join(others, (rest.key == others.key) & (F.col("c") < F.col("d")) & _allowed(rule)).drop(others.key)
-    pairs = _ordered(across, rule).join(first, ["a", "b"], "left_anti")
-    pairs = written(pairs, "pairs")
+    early = of
+    placed = lists.where("many or part > 0").join(early, "node", "left").select("key", "part", "node", "n", "at", F.coalesce("component", "node").alias("c"))
+    open_ = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m"), F.max("part").alias("part")).where("c0 <> c1 and (m > 3 or m = 3 and part > 0)").select("key", "m")
+    rest = written(placed.join(open_, "key"), "open")
+    pairs = written(_across(rest, rule, PART).join(first, ["a", "b"], "left_anti"), "pairs")
     again = written(_verified(docs, sets, pairs, rule), "checked")
     of = connected_components(checked.where("linked").select("a", "b").union(again.where("linked").select("a", "b")))
 
+    dropped(lists, first, checked, early, rest, pairs, again)
     named = sets.select("node", "rep").join(of, "node", "left").withColumn("c", F.coalesce("component", "node"))
     smallest = named.groupBy("c").agg(F.min("rep").alias("component_id"))
     classes = written(named.join(smallest, "c").select("node", "component_id"), "named")
+    dropped(sets, of)
     return every.select("doc_id", "node", F.col("n").alias("n_shingles")).join(classes, "node", "left").select(
         "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )

@@ -16,14 +16,16 @@ from pyspark.sql import functions as F
 
 from areal.llm.common import WORD, let, small, written
 
-#: Rules: figure of a text (higher is worse) and its cut-offs, from the mildest to the strictest.
-RULES: dict[str, tuple[Callable[[], Column], list[float]]] = {
-    "symbols_per_word": (lambda: F.col("n_symbols") / F.greatest(F.col("n_words"), F.lit(1)), [3.0, 2.0, 1.5, 1.0, 0.75, 0.5, 0.35, 0.25, 0.15, 0.1]),
-    "duplicate_lines": (lambda: F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), [0.8, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1]),
-    "long_words": (lambda: F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1)), [40.0, 25.0, 18.0, 14.0, 12.0, 11.0, 10.0, 9.0]),
-    "upper_case": (lambda: F.col("n_upper") / F.greatest(F.col("word_chars"), F.lit(1)), [0.9, 0.8, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15]),
-    "exclamations": (lambda: F.col("n_marks") / F.greatest(F.col("n_words"), F.lit(1)), [3.0, 2.0, 1.5, 1.0, 0.75, 0.5, 0.35, 0.25, 0.15]),
+#: Rules: figure of a text (higher is worse), the mildest cut-off, and how many stricter ones follow it, each RATIO times the one before.
+RULES: dict[str, tuple[Callable[[], Column], float]] = {
+    "symbols_per_word": (lambda: F.col("n_symbols") / F.greatest(F.col("n_words"), F.lit(1)), 4.0),
+    "duplicate_lines": (lambda: F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), 1.0),
+    "long_words": (lambda: F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1)), 64.0),
+    "upper_case": (lambda: F.col("n_upper") / F.greatest(F.col("word_chars"), F.lit(1)), 1.0),
+    "exclamations": (lambda: F.col("n_marks") / F.greatest(F.col("n_words"), F.lit(1)), 4.0),
 }
+#: Cut-offs go down to a thousandth of the mildest one and then to 0, so that a test, not the grid, says where they end.
+RATIO, STEPS = 0.87, 50
 MOST_STRATA = 2000
 
 
@@ -51,8 +53,8 @@ def figures(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with one column `q`, a struct of counts of each whole text; null counts as a text without words.
 
     n_words, word_chars (code points in words), n_symbols, n_lines and n_dup_lines (lines with a word; those equal to an
-    earlier one), n_repeat_words (words in 5-word windows found twice or more), n_upper (A-Z), n_marks (`!`). No shuffle. Windows
-    are compared by 64-bit hashes within a text.
+    earlier one), n_repeat_words (words in 5-word windows found twice or more), n_upper (A-Z), n_marks (`!`), key (a hash of the words).
+    No shuffle. Windows are compared by 64-bit hashes within a text.
     """
     own = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(own, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -67,6 +69,7 @@ def figures(docs: DataFrame, text: str = "text") -> DataFrame:
             _repeated(x["w"], 5).cast("long").alias("n_repeat_words"),
             _without(own, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("n_upper"),
             _without(own, "!").cast("long").alias("n_marks"),
+            F.xxhash64(x["w"]).alias("key"),
         ),
     )
     return docs.withColumn("q", made)
@@ -81,12 +84,16 @@ def _log_factorial(n: Column) -> Column:
 
 
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
-    """P(X <= k) for X ~ Binomial(n, p), exactly: terms from k downwards until they no longer count."""
+    """P(X <= k) for X ~ Binomial(n, p), exactly: terms from k downwards, as far as any can count.
+
+    Beyond 12 standard deviations and 60 terms what is left is under 1e-30 of the sum, for any k up to the mean (where tests need it).
+    """
     kd, nd = k.cast("double"), n.cast("double")
     top = F.exp(_log_factorial(nd) - _log_factorial(kd) - _log_factorial(nd - kd) + kd * F.ln(F.lit(p)) + (nd - kd) * F.ln(F.lit(1 - p)))
     odds = (1 - p) / p
+    reach = F.ceil(12 * F.sqrt(nd * p * (1 - p)) + 60)
     terms = F.aggregate(
-        F.sequence(F.lit(0), F.least(k, F.lit(100_000)).cast("int")),
+        F.sequence(F.lit(0), F.when(kd <= nd * p, F.least(k, reach)).otherwise(k).cast("int")),
         F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s")),
         lambda a, j: F.struct((a["t"] * (kd - j) / (nd - kd + j + 1) * odds).alias("t"), (a["s"] + a["t"]).alias("s")),
         lambda a: a["s"],
@@ -94,23 +101,38 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n, 1.0).otherwise(F.least(F.lit(1.0), top * terms))
 
 
+def grid(mildest: float) -> list[float]:
+    return [mildest * RATIO**i for i in range(STEPS)] + [0.0]
+
+
+def _within(figure: Column, mildest: float) -> Column:
+    """How many of a rule's cut-offs, the mildest ones, a figure doesn't exceed."""
+    return F.size(F.filter(F.array(*map(F.lit, grid(mildest))), lambda c: figure <= c))
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.1, level: float = 0.1) -> DataFrame:
     """stratum, rule and cutoff: the strictest cut-off of each rule that a stratum's labelled good documents allow.
 
-    measured: doc_id, stratum, q. labels: doc_id, quality (1: good). A stratum without labels, or with too few, gets no row:
+    measured: doc_id, stratum, q. labels: doc_id, quality (1: good). A document labelled both ways is no good one, and texts that are
+    equal but for white space are one trial, since copies tell nothing new. A stratum without labels, or with too few, gets no row:
     nothing is rejected there. The counts are over all labelled documents.
     """
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    held = measured.select("doc_id", "stratum", "q.*").join(good, "doc_id", "left_semi")
-    values = held.select("stratum", *[figure().cast("double").alias(name) for name, (figure, _) in RULES.items()])
-    tests = [(name, i, c) for name, (_, grid) in RULES.items() for i, c in enumerate(grid)]
-    counts = values.groupBy("stratum").agg(F.count("*").alias("n"), *[F.sum((F.col(name) > c).cast("long")).alias(f"k_{name}_{i}") for name, i, c in tests])
-    stack = ", ".join(f"'{name}', {i}, cast({c} as double), k_{name}_{i}" for name, i, c in tests)
-    rows = counts.selectExpr("stratum", "n", f"stack({len(tests)}, {stack}) as (rule, step, cutoff, k)")
+    good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("worst")).where("worst = 1").select("doc_id")
+    held = measured.join(good, "doc_id", "left_semi").select("stratum", "q").groupBy("stratum", F.col("q.key").alias("key")).agg(F.first("q").alias("q")).select("stratum", "q.*")
+    # a text counts once a rule, at the mildest cut-off that it exceeds; what exceeds a cut-off is what exceeds it or a milder one first
+    exceeded = [F.struct(F.lit(name).alias("rule"), _within(figure().cast("double"), top).alias("within")) for name, (figure, top) in RULES.items()]
+    counted = held.select("stratum", F.explode(F.array(*exceeded)).alias("e")).groupBy("stratum", "e.rule", "e.within").agg(F.count("*").alias("n"))
+    strata = counted.select("stratum").distinct()
+    every = F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff")) for name, (_, top) in RULES.items() for i, c in enumerate(grid(top))]))
+    rows = strata.select("stratum", every.alias("g")).select("stratum", "g.*")
+    totals = counted.groupBy("stratum", "rule").agg(F.sum("n").alias("n"))
+    tallied = rows.join(counted.select("stratum", "rule", F.col("within").alias("step"), F.col("n").alias("ends")), ["stratum", "rule", "step"], "left")
+    milder = Window.partitionBy("stratum", "rule").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tested = tallied.withColumn("k", F.coalesce(F.sum("ends").over(milder), F.lit(0))).join(totals, ["stratum", "rule"])
     share = risk / len(RULES)
-    number = counts.agg(F.count("*").alias("strata"))
-    p = F.when(F.col("k") > F.col("n") * share, 1.0).otherwise(binomial_tail(F.col("k"), F.col("n"), share))
-    tested = rows.crossJoin(F.broadcast(number)).withColumn("ok", p <= F.lit(level) / (F.col("strata") * len(RULES)))
+    number = strata.agg(F.count("*").alias("strata"))
+    p = F.when(F.col("k") > F.col("n") * share, 1.0).otherwise(binomial_tail(F.least("k", "n"), F.col("n"), share))
+    tested = tested.crossJoin(F.broadcast(number)).withColumn("ok", p <= F.lit(level) / (F.col("strata") * len(RULES)))
     first_failure = F.min(F.when(~F.col("ok"), F.col("step"))).over(Window.partitionBy("stratum", "rule"))
     return tested.withColumn("stop", first_failure).where("stop is null or step < stop").groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 
@@ -120,7 +142,7 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.1, level: float =
 
     One row for each row of docs, null texts (no words) included; a null stratum is a stratum of its own. Texts with fewer than
     10 words, or with more than 20 % of their words in repeated windows, fail the base rules and aren't kept; others are
-    kept unless a rule of their stratum rejects them. Columns of docs besides doc_id, text and the stratum are ignored.
+    kept unless a rule of their stratum rejects them (rejected_by: their names, after commas). An empty table gives no rows. Columns of docs besides doc_id, text and the stratum are ignored.
     """
     chosen = docs.select("doc_id", F.coalesce(F.col(stratum).cast("string"), F.lit("\x00null")).alias("stratum"), F.col("text").alias("text"))
     measured = written(figures(chosen).select("doc_id", "stratum", "q"), "figures")  # counts only: texts are read once and never shuffled
@@ -132,5 +154,38 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.1, level: float =
     return (
         figure.withColumn("base_failed", failed)
         .withColumn("rejected_by", fired)
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"), "rejected_by")
+        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"), F.array_join("rejected_by", ",").alias("rejected_by"))
     )
+
+
+def _sql() -> str:
+    """The same for DuckDB, with tails summed from log-gammas."""
+    grids = ", ".join(f"('{name}', {i}, {c!r}::double)" for name, (_, top) in RULES.items() for i, c in enumerate(grid(top)))
+    figure = {
+        "symbols_per_word": "n_symbols / greatest(n_words, 1)", "duplicate_lines": "n_dup_lines / greatest(n_lines, 1)", "long_words": "word_chars / greatest(n_words, 1)",
+        "upper_case": "n_upper / greatest(word_chars, 1)", "exclamations": "n_marks / greatest(n_words, 1)",
+    }
+    figures_ = " union all ".join(f"select doc_id, stratum, key, '{name}' as rule, {figure[name]}::double as f from b" for name in RULES)
+    without = lambda chars: f"length(t) - length(translate(t, '{chars}', ''))"
+    return rf"""
+with a as (select row_number() over () as r, doc_id, coalesce(lang, chr(1) || 'null') as stratum, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from documents),
+v as (select r, i, array_to_string(w[i:i+4], ' ') as g from (select r, w, unnest(range(1, len(w) - 3)) as i from a where len(w) >= 5)),
+rep as (select r, count(distinct i + s) as n from (select r, i from v qualify count(*) over (partition by r, g) > 1), range(5) u(s) group by r),
+b as (select a.r, doc_id, stratum, array_to_string(w, ' ') as key, len(w)::bigint as n_words, list_sum(list_transform(w, lambda x: length(x)))::bigint as chars0,
+             ({without("#*$%&|<>")})::bigint as n_symbols, len(l)::bigint as n_lines, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words,
+             ({without("ABCDEFGHIJKLMNOPQRSTUVWXYZ")})::bigint as n_upper, ({without("!")})::bigint as n_marks, coalesce(chars0, 0)::bigint as word_chars from a left join rep using (r)),
+good as (select doc_id from labels where doc_id is not null group by doc_id having min(quality) = 1),
+held as (select distinct stratum, key, rule, f from ({figures_}) where doc_id in (select doc_id from good)),
+g as (select * from (values {grids}) x(rule, step, cutoff)),
+k as (select stratum, rule, step, cutoff, count(*) as n, count(*) filter (f > cutoff) as k from held join g using (rule) group by all),
+p as (select *, case when k > n * 0.02 then 1.0 else list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.02) + (n - j) * ln(0.98)))) end as p from k),
+ok as (select *, p <= 0.1 / ((select count(distinct stratum) from held) * {len(RULES)}) as ok from p),
+cut as (select stratum, rule, min(cutoff) as cutoff from (select *, min(case when not ok then step end) over (partition by stratum, rule) as stop from ok) where stop is null or step < stop group by stratum, rule),
+hit as (select r, string_agg(rule, ',' order by list_position({list(RULES)!r}, rule)) as names from (select r, stratum, rule, f from ({figures_.replace("select doc_id", "select r, doc_id")})) join cut using (stratum, rule) where f > cutoff group by r)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+       not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and names is null as kept, coalesce(names, '') as rejected_by
+from b left join hit using (r)"""
+
+
+SQL = _sql()

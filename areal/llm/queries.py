@@ -75,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express the operator on the given tables (whose pages hold no redirects or canonical links)."""
-    return {"op2_url_filters": url_filter.SQL, "op6_mixing": mixing.SQL}
+    return {"op1_quality_rules": quality.SQL, "op2_url_filters": url_filter.SQL, "op6_mixing": mixing.SQL}

@@ -4,18 +4,19 @@ Candidates are runs of 16 key characters or more; `=` ends one, save as padding,
 and the sign are what comes before the key. Shorter values are never candidates: as their figures (transitions, distinct
 characters, words) do not tell them from ordinary words and numbers, passwords of under 16 characters are not found. Each has a few figures: length, transitions between kinds of characters, share
 covered by words, whether it lies in a path, and what its neighbours say. A random forest, trained on labelled findings, tells
-secrets from identifiers, hashes of files, paths and placeholders. Its trees are written out as SQL expressions, so that a
+secrets from identifiers, hashes of files, paths and placeholders. Its trees are written out as column expressions, so that a
 scan is one pass over the texts, without a shuffle. DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areal.llm.common import WORD, let
+from areal.llm.common import WORD, let, shared_dir
 
 CORE = r"[A-Za-z0-9_+/\-.]{16,}(?:={1,2}(?![A-Za-z0-9_+/\-.=]))?"
 MASK = "[SECRET]"
@@ -56,16 +57,28 @@ def features(core: Column, before: Column, after: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """An array of structs (word, secret, before, after): all candidates of a whole text, in order, and what surrounds them."""
+    """An array of structs (word, secret, before, after): all candidates of a whole text, in order, and what surrounds them.
+
+    before: what stands between the candidate and the one before it in its word, with that one; for a word's first one, what comes
+    before it in the word, with the two words before. after: what stands up to the word's next candidate or its end. Both are whole.
+    """
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
     def of(w: Column) -> Column:
         at = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: (F.length(p["x"]) >= 16) & p["x"].rlike(r"[0-9_+/=\-.A-Z]") & p["x"].rlike(CORE))
 
         def cores(p: Column) -> Column:
-            lead = F.concat_ws(" ", F.slice(w, F.greatest(p["i"] - 2, F.lit(1)), F.least(p["i"], F.lit(3))))
-            found = F.regexp_extract_all(p["x"], F.lit(CORE), F.lit(0))
-            return F.transform(F.array_distinct(found), lambda c: F.struct(p["i"].cast("int").alias("word"), c.alias("secret"), F.right(F.concat_ws(" ", lead, F.call_function("substring_index", p["x"], c, F.lit(1))), F.lit(120)).alias("before"), F.left(F.substring(p["x"], F.call_function("instr", p["x"], c) + F.length(c), F.lit(2)), F.lit(2)).alias("after")))
+            lead = F.concat_ws(" ", F.slice(w, F.greatest(p["i"] - 1, F.lit(1)), F.least(p["i"], F.lit(2))))
+            cut = F.struct(F.regexp_extract_all(p["x"], F.lit(CORE), F.lit(0)).alias("core"), F.split(p["x"], CORE, -1).alias("gap"), F.concat(lead, F.lit(" ")).alias("lead"))
+
+            def of_word(c: Column) -> Column:
+                def one(core: Column, k: Column) -> Column:
+                    front = F.when(k == 0, c["lead"]).otherwise(F.concat(F.get(c["gap"], k - 1), F.get(c["core"], k - 1)))
+                    return F.struct(p["i"].cast("int").alias("word"), core.alias("secret"), F.concat(front, F.get(c["gap"], k)).alias("before"), F.get(c["gap"], k + 1).alias("after"))
+
+                return F.transform(c["core"], one)
+
+            return let(cut, of_word)
 
         return F.flatten(F.transform(at, cores))
 
@@ -113,38 +126,39 @@ def labelled_findings(spark: SparkSession, rows: int = 4000, seed: int = 11) ->
     return cut.select(F.col("c.secret").alias("core"), "c.before", "c.after", F.when(F.col("c.secret") == F.col("core"), F.col("label")).otherwise(0).alias("label"))
 
 
-def _tree(node, leaf) -> str:
-    if node.getClass().getSimpleName() == "LeafNode":
-        return leaf(node)
-    split = node.split()
-    name = FEATURES[split.featureIndex()]
-    return f"CASE WHEN f.{name} <= {split.threshold()!r}D THEN {_tree(node.leftChild(), leaf)} ELSE {_tree(node.rightChild(), leaf)} END"
+def labelled(spark: SparkSession, seed: int, rows: int) -> DataFrame:
+    """The features and the label of made findings."""
+    made = labelled_findings(spark, rows, seed).select(features(F.col("core"), F.col("before"), F.col("after")).alias("f"), F.col("label").cast("double").alias("label"))
+    return made.select("f.*", "label")
 
 
 @lru_cache(maxsize=4)
-def _forest(seed: int, rows: int, trees: int, depth: int) -> tuple[str, ...]:
+def _forest(seed: int, rows: int, trees: int, depth: int) -> tuple[tuple, ...]:
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
     spark = SparkSession.getActiveSession()
-    table = labelled_findings(spark, rows, seed).select(features(F.col("core"), F.col("before"), F.col("after")).alias("f"), F.col("label").cast("double").alias("label")).select("f.*", "label")
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="v").transform(table).select("v", "label")
+    vectors = VectorAssembler(inputCols=FEATURES, outputCol="v").transform(labelled(spark, seed, rows)).select("v", "label")
     model = RandomForestClassifier(featuresCol="v", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed).fit(vectors)
+    path = f"{shared_dir(spark)}/areal-forest-{uuid.uuid4().hex}"
+    model.save(path)  # a saved model is the public form of its nodes
+    nodes = {(r.treeID, r.n.id): r.n for r in spark.read.parquet(f"{path}/data").select("treeID", F.col("nodeData").alias("n")).collect()}
 
-    def leaf(node) -> str:
-        stats = node.impurityStats()
-        total = stats.count()
-        return f"{stats.prob(1.0) if total else 0.0!r}D"
+    def tree(t: int, at: int) -> tuple | float:
+        n = nodes[t, at]
+        if n.leftChild < 0:
+            return float(n.impurityStats[1] / sum(n.impurityStats)) if sum(n.impurityStats) else 0.0
+        return FEATURES[n.split.featureIndex], n.split.leftCategoriesOrThreshold[0], tree(t, n.leftChild), tree(t, n.rightChild)
 
-    return tuple(_tree(t.rootNode(), leaf) for t in model._java_obj.trees())
+    return tuple(tree(t, 0) for t in range(trees))
 
 
-def forest(spark: SparkSession, rows: int = 4000, trees: int = 16, depth: int = 5, seed: int = 11) -> tuple[str, ...]:
-    """The trees as SQL over a struct f of features; each gives the share of secrets in its leaf."""
+def forest(spark: SparkSession, rows: int = 4000, trees: int = 16, depth: int = 5, seed: int = 11) -> tuple[tuple, ...]:
+    """The trees as nested (feature, limit, at most the limit, over it); each leaf is its share of secrets."""
     return _forest(seed, rows, trees, depth)
 
 
-def findings(text: Column, trees: tuple[str, ...], threshold: float = 0.5) -> Column:
+def findings(text: Column, trees: tuple[tuple, ...], threshold: float = 0.5) -> Column:
     """An array of structs (word, secret, score): all candidates of a whole text, in order, with the forest's verdict.
 
     word: index of the word that holds the candidate. is_secret: score >= threshold.
@@ -156,30 +170,18 @@ def findings(text: Column, trees: tuple[str, ...], threshold: float = 0.5) -> Co
     return F.transform(scored, lambda c: F.struct(c["word"].alias("word"), c["secret"].alias("secret"), c["score"].alias("score"), (c["score"] >= threshold).alias("is_secret")))
 
 
-def _sum(trees: tuple[str, ...], f: Column) -> Column:
+def _sum(trees: tuple[tuple, ...], f: Column) -> Column:
     total = F.lit(0.0)
     for t in trees:
         total = total + _expression(t, f)
     return total / len(trees)
 
 
-def _expression(sql: str, f: Column) -> Column:
-    """A tree with f bound to a struct column (F.expr can't see lambda variables)."""
-    head = "CASE WHEN f."
-    if not sql.startswith(head):
-        return F.lit(float(sql.rstrip("D")))
-    name, _, rest = sql[len(head) :].partition(" <= ")
-    limit, _, rest = rest.partition("D THEN ")
-    depth, i = 0, 0
-    while True:  # the ELSE of this CASE
-        if rest.startswith("CASE", i):
-            depth += 1
-        elif rest.startswith("END", i):
-            depth -= 1
-        elif depth == 0 and rest.startswith(" ELSE ", i):
-            break
-        i += 1
-    return F.when(f[name] <= float(limit), _expression(rest[:i], f)).otherwise(_expression(rest[i + 6 : -4], f))
+def _expression(tree: tuple | float, f: Column) -> Column:
+    if not isinstance(tree, tuple):
+        return F.lit(tree)
+    name, limit, low, high = tree
+    return F.when(f[name] <= limit, _expression(low, f)).otherwise(_expression(high, f))
 
 
 def scan(docs: DataFrame, threshold: float = 0.5) -> DataFrame:

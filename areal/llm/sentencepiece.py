@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from areal.llm.common import held, trim
+
 MARK = "▁"
 KEPT_WORDS = 600_000
 KEPT_PAIRS = 300_000
@@ -77,10 +79,9 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """One for all tasks of a worker."""
-    return Encoder(path)
+    """One for all tasks of a worker, while it encodes or decodes."""
+    return held(("pieces", path), lambda: Encoder(path))
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
@@ -298,6 +299,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text") -> Da
                 same = [own.decode(flat[i:j].tolist()) == t for i, j, t in zip(offsets, offsets[1:], texts, strict=False)]
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(counts), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_pieces", "round_trip"])
+        trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(encoded, "doc_id long, ids array<int>, n_pieces long, round_trip boolean")

@@ -3,8 +3,9 @@
 Rows are ordered by a composite key: a 64-bit hash of the text, then doc_id, so that equal texts lie side by side.
 Splitters between blocks of that order are found without sorting: exact bytes below candidate boundaries are
 counted in every partition and added up; the interval that holds a splitter is refined with new probes until the
-splitter meets the tolerance. A splitter that falls into one large group of equal texts is refined further by
-doc_id. Then rows are exchanged once, to their blocks, and numbered there.
+splitter meets the tolerance. A splitter that falls into a group of equal texts goes to the group's nearer edge, so that the
+group stays whole; only a group of over a stated share of a shard is cut, by doc_id. Then rows are exchanged once, to their blocks,
+and numbered there.
 """
 
 from __future__ import annotations
@@ -14,13 +15,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from areal.llm.common import written
+from areal.llm.common import dropped, written
 
 SIGN = -(1 << 63)
+#: Probes of one round, over all splitters: what a partition counts, and what it sends at most.
+MOST_PROBES = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -60,12 +63,14 @@ def _histogram(keys: DataFrame, splitters: Splitters) -> np.ndarray:
     return out
 
 
-def find_splitters(keys: DataFrame, blocks: int, tolerance: float, probes: int = 64, rounds: int = 24) -> Splitters:
+def find_splitters(keys: DataFrame, blocks: int, tolerance: float, whole: int = 0, rounds: int = 64) -> Splitters:
     """blocks - 1 splitters; each has its share of bytes below it, to within tolerance times a block's bytes.
 
-    keys: h (long), i (long), size (long). A single row, or rows equal in h and i, can hold a splitter off by their own
-    bytes; refinement then ends at the nearer edge.
+    keys: h (long), i (long), size (long). A group of rows with one h and at most `whole` bytes is not cut; it holds a splitter
+    off by half of that at most. A single row, or rows equal in h and i, can hold one off by their own bytes; refinement
+    then ends at the nearer edge.
     """
+    probes = max(4, min(64, MOST_PROBES // blocks))
     low = [(SIGN, SIGN)] * (blocks - 1)  # bytes below are known to be at most the target's
     high = [(-SIGN, SIGN)] * (blocks - 1)
     below_low = np.zeros(blocks - 1, np.int64)
@@ -108,8 +113,10 @@ def find_splitters(keys: DataFrame, blocks: int, tolerance: float, probes: int =
             low[k] = edges[at - 1] if at else (SIGN, SIGN)
             high[k] = edges[at] if at < len(edges) else (-SIGN, SIGN)
             (h0, i0), (h1, i1) = low[k], high[k]
-            if (h0 == h1 and i1 - i0 <= 1) or (h1 - h0 == 1 and i0 == -SIGN - 1):
-                low[k] = None  # nothing lies between
+            one_group = h1 - h0 == 1 and i0 == SIGN and i1 == SIGN
+            held = int(below[at] if at < len(edges) else total) - int(below[at - 1] if at else 0)
+            if one_group and held <= whole or (h0 == h1 and i1 - i0 <= 1) or (h1 - h0 == 1 and i0 == -SIGN - 1):
+                low[k] = None  # nothing that may be cut lies between
             else:
                 open_ += 1
         if not open_:
@@ -118,10 +125,12 @@ def find_splitters(keys: DataFrame, blocks: int, tolerance: float, probes: int =
     return Splitters(np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], np.int64))
 
 
-def _assigned(keyed: DataFrame, shards: int, blocks_per_shard: int, tolerance: float) -> DataFrame:
-    """keyed (h, i and any columns) with shard and slot, exchanged once."""
+def _assigned(keyed: DataFrame, shards: int, tolerance: float, whole_share: float, block_bytes: int, most_blocks: int) -> DataFrame:
+    """keyed (h, i, size and any columns) with shard and slot, exchanged once."""
     keys = written(keyed.select("h", "i", "size"), "shard-keys")
-    splitters = find_splitters(keys, shards * blocks_per_shard, tolerance)
+    total = keys.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
+    blocks_per_shard = max(1, min(-(-total // (shards * block_bytes)), most_blocks // shards))
+    splitters = find_splitters(keys, shards * blocks_per_shard, tolerance, int(whole_share * total / shards))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -129,6 +138,7 @@ def _assigned(keyed: DataFrame, shards: int, blocks_per_shard: int, tolerance: f
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(splitters.block(h, i).astype(np.int32))], names=[*b.schema.names, "_block"])
 
     counts = keys.select("h", "i").mapInArrow(numbered, "h long, i long, _block int").groupBy("_block").count().toArrow()
+    dropped(keys)
     rows = np.zeros(shards * blocks_per_shard, np.int64)
     rows[counts.column("_block").to_numpy()] = counts.column("count").to_numpy()
     first = np.cumsum(rows) - rows
@@ -140,29 +150,37 @@ def _assigned(keyed: DataFrame, shards: int, blocks_per_shard: int, tolerance: f
     return placed.withColumn("slot", F.row_number().over(order).cast("long") - 1 + F.get(offsets, F.col("_block"))).withColumn("shard", (F.col("_block") / blocks_per_shard).cast("int"))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, spread: Column) -> DataFrame:
+    """spread tells rows without an id apart, so that many copies without one can be cut like others."""
     text = F.coalesce(F.col("text"), F.lit(""))
+    nameless = F.lit(SIGN) + F.pmod(spread, F.lit(1 << 62))  # below every id from -2^62 on
     return docs.select(
-        F.xxhash64(text).alias("h"), F.coalesce(F.col("doc_id").cast("long"), F.lit(SIGN)).alias("i"), (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text).alias("text_crc32"),
+        F.xxhash64(text).alias("h"), F.coalesce(F.col("doc_id").cast("long"), nameless).alias("i"), (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text).alias("text_crc32"),
         F.struct("*").alias("row"),
     )
 
 
-def shard(docs: DataFrame, shards: int = 24, blocks_per_shard: int = 8, tolerance: float = 0.01) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, tolerance: float = 0.01, whole_share: float = 0.1, block_bytes: int = 256 << 20, most_blocks: int = 4096) -> DataFrame:
     """docs' rows, whole, with size, text_crc32, shard and slot; law `bytes`: every shard's bytes are near total / shards.
 
-    A shard's bytes are off by at most 2 * tolerance / blocks_per_shard of a shard, or by what single rows force. size is
-    the text's UTF-8 bytes plus 8; a null text counts as empty. A null doc_id comes before all others. Equal texts are
-    neighbours and stay in one shard unless a splitter must fall into their group. Rows equal in text and doc_id are not
-    separated. slot numbers a shard's rows from 0, without gaps, in the order of the key. An empty table gives no rows. Columns
-    of docs by the names of the new ones are replaced.
+    Equal texts are neighbours, and a group of at most whole_share of a shard's bytes stays in one shard: a shard's bytes are
+    off by that share at most, or by what a single row forces. Larger groups are cut by doc_id, and then the shard is off by
+    2 * tolerance of a block. A shard is sorted in blocks of about block_bytes, all shards together in most_blocks at most. size is
+    the text's UTF-8 bytes plus 8; a null text counts as empty. Rows without an id come first in their group, by a hash of their other
+    columns. Rows equal in text and id (or, without an id, in all columns) are not separated. slot numbers a shard's rows
+    from 0, without gaps, in the order of the key. An empty table gives no rows. Columns of docs by the names of the new
+    ones are replaced.
     """
     new = ["size", "text_crc32", "shard", "slot"]
-    placed = _assigned(_keyed(docs), shards, blocks_per_shard, tolerance)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    placed = _assigned(_keyed(docs, F.xxhash64(F.lit(0), *others)), shards, tolerance, whole_share, block_bytes, most_blocks)
     return placed.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in new], *new)
 
 
-def shard_keys(docs: DataFrame, shards: int = 24, blocks_per_shard: int = 8, tolerance: float = 0.01) -> DataFrame:
-    """As shard(), with doc_id in place of whole rows: what a writer needs to know of each row."""
-    keyed = _keyed(docs.select("doc_id", "text")).withColumn("doc_id", F.col("row.doc_id")).drop("row")
-    return _assigned(keyed, shards, blocks_per_shard, tolerance).select("doc_id", "size", "text_crc32", "shard", "slot")
+def shard_keys(docs: DataFrame, shards: int = 24, tolerance: float = 0.01, whole_share: float = 0.1, block_bytes: int = 256 << 20, most_blocks: int = 4096) -> DataFrame:
+    """As shard(), with doc_id in place of whole rows: what a writer needs to know of each row.
+
+    The small rows are written first, so that copies without an id are told apart by where they stand.
+    """
+    keyed = _keyed(docs.select("doc_id", "text"), F.xxhash64(F.monotonically_increasing_id())).withColumn("doc_id", F.col("row.doc_id")).drop("row")
+    return _assigned(written(keyed, "shard-rows"), shards, tolerance, whole_share, block_bytes, most_blocks).select("doc_id", "size", "text_crc32", "shard", "slot")

@@ -1,7 +1,8 @@
 """Token counts of whole texts by batch encoding in Arrow functions that return lengths only.
 
 A text is cut at ASCII blanks, and a part once more before the first ASCII punctuation after letters. The tokenizer drops white space and none of its pieces, special strings
-included, holds a blank, so the counts of the parts add up to the count of the text. Parts are counted once
+included, holds a blank, so the counts of the parts add up to the count of the text; a vocabulary for which that
+doesn't hold is an error. Parts are counted once
 and remembered (a bounded memory, so a worker's size doesn't follow the input); those not yet known are
 encoded in batches of about the same number of bytes, whatever the lengths of the texts.
 """
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from areal.llm.common import BLANKS, held, sliced
+
 BATCH_BYTES = 1 << 18
 KEPT_WORDS = 1_000_000
 #: A part longer than this is not remembered.
@@ -26,10 +29,29 @@ KEPT_CHARS = 64
 LETTERS = re.compile(rb"[A-Za-z]+(?=[!-/:-@\[-`{-~])")
 
 
-@lru_cache(maxsize=1)
 def word_counts(path: str) -> WordCounts:
-    """One for all tasks of a worker."""
-    return WordCounts(path)
+    """One for all tasks of a worker, while it counts tokens."""
+    return held(("tokens", path), lambda: WordCounts(path))
+
+
+def check_cuts(tokenizer) -> None:
+    """An error unless counts of the parts add up: pieces and special strings hold no blank, and the pre-tokenizer splits at blanks
+    and between ASCII letters and the punctuation after them, whatever stands around."""
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    if any(set(BLANKS) & set(x) for x in [*tokenizer.get_vocab(), *special]):
+        raise ValueError("a piece of the vocabulary holds a blank: texts can't be cut there")
+    if any(LETTERS.search(x.encode()) and "<|" not in x for x in special):
+        raise ValueError("a special string joins letters and punctuation: texts can't be cut there")
+    if tokenizer.pre_tokenizer is None:
+        raise ValueError("the tokenizer doesn't split texts into words")
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    probes = [f"{a}{m}{b}" for a in ("a", "Zq", "don") for m in marks for b in ("", "x", "1", m, "t x")] + [f"{a}{b}{c}" for a in ("a", "1", ".", "é") for b in BLANKS for c in ("a", "1", ".", "é")]
+    for p in probes:
+        edges = {e for _, (i, j) in tokenizer.pre_tokenizer.pre_tokenize_str(p) for e in (i, j)}
+        cut = LETTERS.match(p.encode())
+        at = cut.end() if cut else next(i for i, c in enumerate(p) if c in BLANKS)
+        if at not in edges or not cut and at + 1 not in edges:
+            raise ValueError(f"the pre-tokenizer keeps {p!r} together: texts can't be cut there")
 
 
 @lru_cache(maxsize=2)
@@ -40,6 +62,7 @@ def _tokenizer(path: str):
     found = Tokenizer.from_file(path)
     found.no_truncation()
     found.no_padding()
+    check_cuts(found)
     return found
 
 
@@ -105,7 +128,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text") -> Da
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_counts(tokenizer_path)
-        for batch in batches:
+        for batch in sliced(batches, 1):
             texts = [(x.as_py() or "").encode() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(map(len, texts), pa.int64()), pa.array(known.of(texts), pa.int64())],

@@ -114,7 +114,7 @@ def test_token_counts_are_the_librarys(spark, odd):
 
 def test_shards(spark, odd):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(odd.select("doc_id", "text"))
-    rows = sharding.shard(docs, shards=4, blocks_per_shard=3).collect()
+    rows = sharding.shard(docs, shards=4, block_bytes=20_000).collect()
     assert Counter((r.doc_id, r.text) for r in rows) == Counter((r.doc_id, r.text) for r in docs.collect())
     assert all(r.size == len((r.text or "").encode()) + 8 and r.text_crc32 == zlib.crc32((r.text or "").encode()) for r in rows)
     total = Counter()
@@ -207,4 +207,4 @@ def test_awkward_and_empty_tables(spark, odd, empty):
         assert secrets.scan(docs).count() == n
         assert mixing.mix(docs).count() == n
         assert toxicity.score(docs, model).count() == n
-        assert sharding.shard_keys(docs, shards=3, blocks_per_shard=2).count() == n
+        assert sharding.shard_keys(docs, shards=3).count() == n
