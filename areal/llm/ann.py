@@ -1,27 +1,28 @@
 """Approximate nearest neighbours by multi-index hashing.
 
 Rotations are learned on a bounded sample (each starts at random and is turned towards the signs of the turned vectors); the
-signs of the rotated vectors are a binary code, several rotations giving as many bits as wanted. A code is split
-into substrings of eight bits, and each block of vectors indexes every substring. Two codes within a radius r agree,
-in at least one of m substrings, up to floor(r / m) bits (pigeonhole), so probing all substrings so far retrieves every code
-within the radius; those are ranked by their float vectors. Where the probes would visit more codes than there are, the
-codes are scanned instead, with the same result. The radius is measured: it holds the wanted share of the true
-neighbours of a bounded number of queries, found by brute force over all rows.
+signs of the rotated vectors are a binary code, several rotations giving as many bits as wanted. A code is split into
+substrings about as long as the logarithm of the number of rows, and every row is indexed under each of them. Two codes within a
+radius r agree, in at least one of m substrings, up to floor(r / m) bits (pigeonhole; up to one bit fewer in all but the first
+r mod m + 1 substrings), so a query that probes all values that near, in every substring, meets every code within the
+radius. Those are ranked by their float vectors. The radius is measured: it holds the wanted share of the true neighbours
+of a bounded number of queries, found by brute force over all rows. Queries that find fewer than k rows probe again with a wider one.
+
+Index entries are dealt out by (substring, first bits of its value), and a query goes to those values' ranges only that hold
+a value near enough. Large ranges and large sets of queries are split further, so that a task's share is bounded.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from areal.llm.common import written
-
-BITS = np.array([bin(x).count("1") for x in range(256)], np.uint8)
+from areal.llm.common import dropped, small, written
 
 
 @dataclass(frozen=True)
@@ -32,7 +33,30 @@ class Settings:
     probe_queries: int = 192
     #: Share of true neighbours that the radius holds.
     share: float = 0.98
-    block_rows: tuple[int, int] = (512, 262_144)
+    #: Entries of a range, and queries that meet them, in one task's table.
+    part_rows: int = 8192
+    part_queries: int = 4096
+
+
+@dataclass(frozen=True)
+class Plan:
+    """Of what the codes consist and how far probing goes."""
+
+    bits: int
+    width: int
+    radius: int
+    #: First bits of a substring that name its range.
+    lead: int
+
+    @property
+    def substrings(self) -> list[tuple[int, int]]:
+        """(first bit, bits) of each; the last one may be shorter."""
+        return [(b, min(self.width, self.bits - b)) for b in range(0, self.bits, self.width)]
+
+    def reach(self, j: int) -> int:
+        """Bits by which probes of substring j may differ; -1: it needn't be probed."""
+        near, rest = divmod(self.radius, len(self.substrings))
+        return near if j <= rest else near - 1
 
 
 def learn(sample: np.ndarray, rotations: int, rounds: int = 30, seed: int = 7) -> np.ndarray:
@@ -50,37 +74,29 @@ def learn(sample: np.ndarray, rotations: int, rounds: int = 30, seed: int = 7) -
     return np.hstack(parts)
 
 
-def codes_of(vectors: np.ndarray, turn: np.ndarray) -> np.ndarray:
-    """(rows, bytes) codes."""
-    return np.packbits(vectors @ turn > 0, axis=1)
+def signs(vectors: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """(rows, bits) codes, a bit a byte."""
+    return (vectors @ turn > 0).view(np.uint8)
 
 
-class Index:
-    """Substring tables over the codes of a block."""
+def packed(bits: np.ndarray) -> np.ndarray:
+    """(rows, words of 64 bits) of codes."""
+    padded = np.zeros((len(bits), -(-bits.shape[1] // 64) * 64), np.uint8)
+    padded[:, : bits.shape[1]] = bits
+    return np.packbits(padded, axis=1).view(np.uint64)
 
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.order = np.argsort(codes, axis=0, kind="stable")
-        self.start = np.stack([np.searchsorted(codes[self.order[:, j], j], np.arange(257)) for j in range(codes.shape[1])])
 
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Rows whose code differs in at most radius bits, and all rows' distances where they were computed."""
-        n, m = self.codes.shape
-        reach = radius // m
-        near = BITS[np.bitwise_xor.outer(code, np.arange(256, dtype=np.uint8))] <= reach  # (m, 256): probes by substring
-        visits = (near * np.diff(self.start, axis=1)).sum()
-        if visits < n:
-            found = [self.order[self.start[j, v] : self.start[j, v + 1], j] for j, v in zip(*np.nonzero(near), strict=True)]
-            rows = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-            return rows[distances(self.codes[rows], code) <= radius]
-        return np.flatnonzero(distances(self.codes, code) <= radius)
+def values(bits: np.ndarray, plan: Plan) -> np.ndarray:
+    """(rows, substrings) of their values."""
+    out = np.empty((len(bits), len(plan.substrings)), np.uint32)
+    for j, (first, n) in enumerate(plan.substrings):
+        out[:, j] = bits[:, first : first + n].astype(np.uint32) @ (1 << np.arange(n - 1, -1, -1, dtype=np.uint32))
+    return out
 
 
-def distances(codes: np.ndarray, code: np.ndarray) -> np.ndarray:
-    if codes.shape[1] % 8 == 0:
-        wide = np.ascontiguousarray(codes).view(np.uint64) ^ np.ascontiguousarray(code).view(np.uint64)
-        return np.bitwise_count(wide).sum(axis=1, dtype=np.int32)
-    return BITS[codes ^ code].sum(axis=1, dtype=np.int32)
+def ranges(value: np.ndarray, j: int, plan: Plan) -> np.ndarray:
+    n = plan.substrings[j][1]
+    return value >> np.uint32(max(0, n - plan.lead))
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -101,54 +117,30 @@ def best(ids: np.ndarray, vectors: np.ndarray, query_id: int, query: np.ndarray,
 
 
 def usable(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
-    """vec_id and v (array of double): rows with an id and a finite vector that isn't zero."""
-    v = F.transform(F.col(column), lambda x: x.cast("double"))
+    """vec_id and v (array of float or double, as given; other numbers as double): rows with an id and a finite vector that isn't zero."""
+    kind = vectors.schema[column].dataType
+    v = F.col(column) if kind.simpleString() in ("array<float>", "array<double>") else F.transform(F.col(column), lambda x: x.cast("double"))
     rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
-    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return rows.where(~bad & F.exists("v", lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, settings: Settings = Settings(), every: int = 20, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id and score of the nearest found of every query (ids divisible by `every`), against all rows.
-
-    Nearness is the inner product in double precision, ties go to smaller ids; a query has k rows, or one for each
-    candidate if there are fewer. Vectors that are null, zero or hold null or non-finite components take no part, nor
-    do rows without an id or with another length than most vectors have. Repeated rows are candidates each; a query
-    with several rows asks once (its least vector), and no row with the query's own id is its neighbour. An
-    empty table gives no rows. Other columns are ignored.
-    """
-    spark = vectors.sparkSession
-    rows = written(usable(vectors, id_column, column), "vectors")
-    empty = "query_id long, rank int, vec_id long, score double"
-    dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not dims:
-        return spark.createDataFrame([], empty)
-    dim, total = dims[0].d, dims[0]["count"]
-    rows = rows.where(F.size("v") == dim)
-    mixed = F.xxhash64("vec_id", F.lit(1))
-    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    k = settings.k
-
-    turn = learn(_matrix(rows.orderBy(mixed, "vec_id").limit(settings.sample).toArrow().column("v"), dim), settings.rotations)
-    asked = queries.orderBy(mixed).limit(settings.probe_queries).toArrow()
-    if not asked.num_rows:
-        return spark.createDataFrame([], empty)
-    asked_ids, asked_v = asked.column("vec_id").to_numpy(), _matrix(asked.column("v"), dim)
-    asked_codes = codes_of(asked_v, turn)
+def _far(rows: DataFrame, asked: pa.Table, turn: np.ndarray, dim: int, settings: Settings) -> int:
+    """The code distance that holds the wanted share of the true neighbours of the asked queries, by brute force over all rows."""
+    ids_of, v_of, k = asked.column("vec_id").to_numpy(), _matrix(asked.column("v"), dim), settings.k
+    codes_of = packed(signs(v_of, turn))
 
     def exactly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, v = np.zeros(0, np.int64), np.zeros((0, dim))
-        out: dict[int, tuple] = {}
+        out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
             ids, v = b.column(0).to_numpy(), _matrix(b.column(1), dim)
-            codes = codes_of(v, turn)
-            at = {}
-            for x in range(len(asked_ids)):
-                got, scores = best(ids, v, asked_ids[x], asked_v[x], k)
-                at = {i: r for r, i in enumerate(ids.tolist())} if not at else at
-                far = distances(codes[[at[i] for i in got.tolist()]], asked_codes[x]) if len(got) else np.zeros(0, np.int32)
-                old = out.get(x, (np.zeros(0), np.zeros(0, np.int32)))
-                scores, far = np.concatenate((old[0], scores)), np.concatenate((old[1], far))
+            codes = packed(signs(v, turn))
+            for x in range(len(ids_of)):
+                scores = np.where(ids != ids_of[x], v @ v_of[x], -np.inf)
+                top = np.argpartition(scores, len(scores) - k)[-k:] if len(scores) > k else np.arange(len(scores))
+                top = top[scores[top] > -np.inf]
+                old = out.get(x, (np.zeros(0), np.zeros(0, np.int64)))
+                scores, far = np.concatenate((old[0], scores[top])), np.concatenate((old[1], np.bitwise_count(codes[top] ^ codes_of[x]).sum(axis=1, dtype=np.int64)))
                 order = np.argsort(-scores, kind="stable")[:k]
                 out[x] = scores[order], far[order]
         if out:
@@ -158,34 +150,141 @@ def nearest(vectors: DataFrame, settings: Settings = Settings(), every: int = 20
     top = Window.partitionBy("x").orderBy(F.desc("score"))
     found = rows.mapInArrow(exactly, "x int, score double, far int").withColumn("r", F.row_number().over(top)).where(f"r <= {k}")
     radius = found.agg(F.percentile("far", settings.share).alias("r")).first().r
-    radius = int(np.ceil(radius)) if radius is not None else settings.rotations * dim
+    return int(np.ceil(radius)) if radius is not None else turn.shape[1]
+
 
-    blocks = int(-(-total // np.clip(total // 48, *settings.block_rows)))
-    base = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int"))
-    spread = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+def _entries(rows: DataFrame, plan: Plan, turn: np.ndarray, dim: int, probes: bool) -> DataFrame:
+    """rows (vec_id, v) once for each range: with probes, those that hold a value near enough; otherwise those of their own values."""
 
-    def probed(left: pa.Table, right: pa.Table) -> pa.Table:
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first in range(0, b.num_rows, 256):
+                part = b.slice(first, 256)
+                value = values(signs(_matrix(part.column(1), dim), turn), plan)
+                row, sub, at = [], [], []
+                for j, (_, n) in enumerate(plan.substrings):
+                    own = ranges(value[:, j], j, plan)
+                    if probes:
+                        every = np.arange(1 << min(n, plan.lead), dtype=np.uint32)
+                        r, a = np.nonzero(np.bitwise_count(own[:, None] ^ every[None, :]) <= plan.reach(j))
+                    else:
+                        r, a = np.arange(len(own)), own
+                    if plan.reach(j) >= 0:
+                        row, sub, at = [*row, r], [*sub, np.full(len(r), j, np.int32)], [*at, a.astype(np.int32)]
+                chosen = part.take(pa.array(np.concatenate(row)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sub)), pa.array(np.concatenate(at)), *chosen.columns], names=["j", "range", "vec_id", "v"])
+
+    return rows.select("vec_id", "v").mapInArrow(dealt, f"j int, range int, vec_id long, v {dict(rows.dtypes)['v']}")
+
+
+def _probed(rows: DataFrame, queries: DataFrame, plan: Plan, turn: np.ndarray, dim: int, settings: Settings) -> DataFrame:
+    """query_id, vec_id and score: every row within the radius of a query's code, but for those that k better ones in its range's part beat."""
+    k = settings.k
+    entries, probes = _entries(rows, plan, turn, dim, False), _entries(queries, plan, turn, dim, True)
+    sizes = entries.groupBy("j", "range").agg(F.count("*").alias("n")).join(probes.groupBy("j", "range").agg(F.count("*").alias("q")), ["j", "range"])
+    parts = sizes.select("j", "range", F.ceil(F.col("n") / settings.part_rows).cast("int").alias("a"), F.ceil(F.col("q") / settings.part_queries).cast("int").alias("b"))
+    parts = written(parts, "ranges")
+    near = F.broadcast(parts) if small(parts, 100_000) else parts
+    salt = lambda of: F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    left = entries.join(near, ["j", "range"]).withColumn("pa", salt("a")).withColumn("pb", every("b")).select("j", "range", "pa", "pb", "vec_id", "v")
+    right = probes.join(near, ["j", "range"]).withColumn("pb", salt("b")).withColumn("pa", every("a")).select("j", "range", "pa", "pb", "vec_id", "v")
+
+    def met(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
-        if not left.num_rows or not right.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
-        ids, v = left.column("vec_id").to_numpy(), _matrix(left.column("v"), dim)
-        index = Index(codes_of(v, turn))
-        q_ids, q = right.column("vec_id").to_numpy(), _matrix(right.column("v"), dim)
-        q_codes = codes_of(q, turn)
         out = []
-        for x in range(len(q_ids)):
-            near = index.within(q_codes[x], radius)
-            if len(near) <= k:  # too few within the radius: the nearest codes of the block
-                near = np.argsort(distances(index.codes, q_codes[x]), kind="stable")[: k + 1]
-            got, scores = best(ids[near], v[near], q_ids[x], q[x], k)
-            out.append((np.full(len(got), q_ids[x]), got, scores))
+        if left.num_rows and right.num_rows:
+            j = key[0].as_py()
+            ids, v = left.column("vec_id").to_numpy(), _matrix(left.column("v"), dim)
+            bits = signs(v, turn)
+            code, value = packed(bits), values(bits, plan)
+            q_ids, q_v = right.column("vec_id").to_numpy(), _matrix(right.column("v"), dim)
+            q_bits = signs(q_v, turn)
+            q_code, q_value = packed(q_bits), values(q_bits, plan)
+            for x in range(len(q_ids)):
+                at = np.flatnonzero(np.bitwise_count(value[:, j] ^ q_value[x, j]) <= plan.reach(j))  # what the probes hit
+                at = at[np.bitwise_count(code[at] ^ q_code[x]).sum(axis=1, dtype=np.int32) <= plan.radius]
+                for earlier in range(j):  # a pair counts in the first substring where it meets
+                    if len(at):
+                        at = at[np.bitwise_count(value[at, earlier] ^ q_value[x, earlier]).astype(np.int32) > plan.reach(earlier)]
+                if len(at):
+                    got, scores = best(ids[at], v[at], q_ids[x], q_v[x], k)
+                    out.append((np.full(len(got), q_ids[x]), got, scores))
+        if not out:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
         return pa.table([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], names=names)
 
-    hits = base.groupBy("block").cogroup(spread.groupBy("block")).applyInArrow(probed, "query_id long, vec_id long, score double")
+    by = ["j", "range", "pa", "pb"]
+    hits = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(met, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
 
 
+def visits(plan: Plan, sample: np.ndarray, turn: np.ndarray) -> float:
+    """The share of all rows that the probes of a query hit, each hit in each substring counted: over 1 where probing costs more than a scan."""
+    value = values(signs(sample, turn), plan)
+    near = [np.bitwise_count(value[:200, j][:, None] ^ value[:, j][None, :]) <= plan.reach(j) for j in range(value.shape[1])]
+    return float(sum(x.mean() for x in near))
+
+
+def planned(rows: DataFrame, queries: DataFrame, dim: int, total: int, settings: Settings) -> tuple[Plan, np.ndarray, np.ndarray] | None:
+    """The plan, the rotations and the sample they were learned on; None without queries."""
+    mixed = F.xxhash64("vec_id", F.lit(1))
+    sample = _matrix(rows.orderBy(mixed, "vec_id").limit(settings.sample).toArrow().column("v"), dim)
+    asked = queries.orderBy(mixed).limit(settings.probe_queries).toArrow()
+    if not asked.num_rows:
+        return None
+    turn = learn(sample, settings.rotations)
+    width = int(np.clip(round(np.log2(max(2, total))), 8, 24))
+    lead = int(np.clip(np.ceil(np.log2(max(1, total / settings.part_rows))), 0, min(width, 12)))
+    return Plan(turn.shape[1], width, _far(rows, asked, turn, dim, settings), lead), turn, sample
+
+
+def _of_length(rows: DataFrame, dim: int, total: int, settings: Settings, every: int) -> DataFrame | None:
+    rows = rows.where(F.size("v") == dim)
+    queries = written(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    found = planned(rows, queries, dim, total, settings)
+    if found is None:
+        return None
+    plan, turn, _ = found
+    out, left = [], queries
+    while True:
+        hits = written(_probed(rows, left, plan, turn, dim, settings), "hits")
+        full = hits.where(F.col("rank") == settings.k).select(F.col("query_id").alias("vec_id"))
+        if plan.radius >= plan.bits:  # all rows were within the radius
+            return _union([*out, hits])
+        few = written(left.join(full, "vec_id", "left_anti"), "few")
+        out.append(hits.join(full.select(F.col("vec_id").alias("query_id")), "query_id", "left_semi"))
+        if few.isEmpty():
+            return _union(out)
+        left, plan = few, replace(plan, radius=min(plan.bits, plan.radius + max(1, plan.bits // 8)))
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def nearest(vectors: DataFrame, settings: Settings = Settings(), every: int = 20, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id and score of the nearest found of every query (ids divisible by `every`), against all rows.
+
+    Nearness is the inner product in double precision, ties go to smaller ids; a query has k rows, or one for each
+    candidate if there are fewer. Vectors that are null, zero or hold null or non-finite components take no part, nor
+    do rows without an id. Vectors of several lengths are searched apart, each among its own. Repeated rows are candidates each; a query
+    with several rows asks once (its least vector), and no row with the query's own id is its neighbour. An
+    empty table gives no rows. Other columns are ignored.
+    """
+    rows = written(usable(vectors, id_column, column), "vectors")
+    lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()
+    found = [x for r in lengths if (x := _of_length(rows, r.d, r["count"], settings, every)) is not None]
+    out = _union(found) if found else vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    if not found:
+        dropped(rows)
+    return out.select("query_id", "rank", "vec_id", "score")
+
+
 def exact(vectors: DataFrame, queries: list[int], k: int = 20, id_column: str = "vec_id", column: str = "embedding") -> dict[int, list[tuple[int, float]]]:
     """Brute force for tests: (vec_id, score) of the nearest of each query, on the driver."""
     table = usable(vectors, id_column, column).toArrow()

@@ -9,7 +9,7 @@ import pytest
 import sentencepiece as library
 from pyspark.sql import functions as F
 
-from areal.llm import ann, mixing, ngram_join, quality, queries, secrets, sentencepiece, sharding, token_counts, toxicity, url_filter
+from areal.llm import mixing, ngram_join, quality, queries, secrets, sentencepiece, sharding, token_counts, toxicity, url_filter
 from areal.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -144,16 +144,6 @@ def test_toxicity_scores_do_not_depend_on_the_rates_of_drawing(spark):
         assert abs(toxicity.fit(rows).scorer().score("plain words here odd") - 1 / 9) < 0.05
 
 
-def test_neighbours(spark):
-    vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
-    got = ann.nearest(vectors).collect()
-    want = ann.exact(vectors, sorted({r.query_id for r in got}))
-    hits = sum((r.vec_id, r.score) in want[r.query_id] for r in got)
-    assert hits / sum(map(len, want.values())) >= 0.9 and len(got) == 20 * len(want)
-    bad = spark.createDataFrame([(0, [1.0, 0.0]), (20, None), (1, [0.0, 0.0]), (2, [float("nan"), 1.0]), (3, [2.0, 0.0]), (4, [2.0, 0.0]), (None, [1.0, 1.0])], "vec_id long, embedding array<double>")
-    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in ann.nearest(bad).orderBy("rank").collect()] == [(0, 1, 3, 2.0), (0, 2, 4, 2.0)]
-
-
 def test_binomial_tail(spark):
     from math import comb
 
