@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from areal.llm.common import held, trim
+from areal.llm.common import held, sliced
 
 MARK = "▁"
-KEPT_WORDS = 600_000
-KEPT_PAIRS = 300_000
+KEPT_WORDS = 400_000
+KEPT_PAIRS = 250_000
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-BATCH_CHARS = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Characters of distinct units that are concatenated and indexed together (a longer unit stands alone).
 INDEX_CHARS = 1 << 19
 
@@ -288,18 +288,13 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text") -> Da
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(model_path)
-        for batch in batches:
-            chars = np.cumsum([len(x or "") for x in batch.column(1).to_pylist()])
-            cuts = [0, *(np.flatnonzero(np.diff(chars // BATCH_CHARS)) + 1).tolist(), batch.num_rows]
-            for first, end in zip(cuts, cuts[1:], strict=False):
-                part = batch.slice(first, end - first)
-                texts = [x or "" for x in part.column(1).to_pylist()]
-                flat, counts = own.encode_flat(texts)
-                offsets = np.concatenate(([0], np.cumsum(counts)))
-                same = [own.decode(flat[i:j].tolist()) == t for i, j, t in zip(offsets, offsets[1:], texts, strict=False)]
-                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(counts), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_pieces", "round_trip"])
-        trim()
+        for part in sliced(batches, 1, BATCH_BYTES):
+            texts = [x or "" for x in part.column(1).to_pylist()]
+            flat, counts = own.encode_flat(texts)
+            offsets = np.concatenate(([0], np.cumsum(counts)))
+            same = [own.decode(flat[i:j].tolist()) == t for i, j, t in zip(offsets, offsets[1:], texts, strict=False)]
+            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(counts), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_pieces", "round_trip"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(encoded, "doc_id long, ids array<int>, n_pieces long, round_trip boolean")
