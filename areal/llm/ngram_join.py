@@ -255,15 +255,20 @@ def _ordered(pairs: DataFrame, rule: Rule) -> DataFrame:
     return pairs.where(_allowed(rule) & (F.col("node") != F.col("b"))).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
 
+def _not_ruled_out(rule: Rule, n: str, bits: str, other_n: str, other_bits: str) -> Column:
+    """Whether parity bits leave room for a link: two sets differ in at least as many elements as in bits."""
+    apart = F.aggregate(F.zip_with(bits, other_bits, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda k, x: k + x)
+    both = F.col(n) + F.col(other_n)
+    most = F.floor((both - apart) / 2)  # of the overlap
+    return (F.size(bits) != F.size(other_bits)) | (most * (100 + rule.percent) >= both * rule.percent)
+
+
 def _possible(sets: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) that parity bits don't rule out, with the documents that have their sets."""
     me = sets.select("node", "n", "rep", "bits")
     a, b = (me.select(*[F.col(x).alias(f"{x}_{end}") for x in me.columns]) for end in "ab")
     both = pairs.join(a, F.col("a") == F.col("node_a")).join(b, F.col("b") == F.col("node_b"))
-    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    most = F.floor(((F.col("n_a") + F.col("n_b")) - apart) / 2)  # of the overlap
-    rest = (F.size("bits_a") != F.size("bits_b")) | (most * (100 + rule.percent) >= (F.col("n_a") + F.col("n_b")) * rule.percent)
-    return both.where(rest).select("a", "b", "rep_a", "rep_b")
+    return both.where(_not_ruled_out(rule, "n_a", "bits_a", "n_b", "bits_b")).select("a", "b", "rep_a", "rep_b")
 
 
 def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
@@ -302,15 +307,16 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, rule: Rule) ->
 def _across(open_: DataFrame, rule: Rule, block: int) -> DataFrame:
     """Candidate pairs (a, b) of members of one list in different components, each pair once.
 
-    open_: key, node, n, at, c (component) and m (members of the list). A list's members are dealt into blocks of about `block`
+    open_: key, node, n, at, bits, c (component) and m (members of the list). Parity bits are compared in the join itself, so that what
+    they rule out is never a row. A list's members are dealt into blocks of about `block`
     members, and blocks meet in pairs, so that no task gets a whole list.
     """
     blocks = F.ceil(F.col("m") / block)
     dealt = open_.withColumn("blocks", blocks.cast("int")).withColumn("p", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
-    left = dealt.select("key", F.col("p").alias("p"), F.explode(F.sequence(F.col("p"), F.col("blocks") - 1)).alias("q"), "node", "n", "at", "c")
-    right = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("p"))).alias("p"), F.col("p").alias("q"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("at").alias("bat"), F.col("c").alias("d"))
+    left = dealt.select("key", F.col("p").alias("p"), F.explode(F.sequence(F.col("p"), F.col("blocks") - 1)).alias("q"), "node", "n", "at", "bits", "c")
+    right = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("p"))).alias("p"), F.col("p").alias("q"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("at").alias("bat"), F.col("bits").alias("bbits"), F.col("c").alias("d"))
     once = F.when(F.col("p") == F.col("q"), F.col("c") < F.col("d")).otherwise(F.col("c") != F.col("d"))
-    return _ordered(left.join(right, ["key", "p", "q"]).where(once), rule)
+    return _ordered(left.join(right, ["key", "p", "q"]).where(once & _allowed(rule) & _not_ruled_out(rule, "n", "bits", "bn", "bbits")), rule)
 
 
 def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -343,7 +349,7 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     early = of
     placed = lists.where("many or part > 0").join(early, "node", "left").select("key", "part", "node", "n", "at", F.coalesce("component", "node").alias("c"))
     open_ = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m"), F.max("part").alias("part")).where("c0 <> c1 and (m > 3 or m = 3 and part > 0)").select("key", "m")
-    rest = written(placed.join(open_, "key"), "open")
+    rest = written(placed.join(open_, "key").join(sets.select("node", "bits"), "node"), "open")
     pairs = written(_across(rest, rule, PART).join(first, ["a", "b"], "left_anti"), "pairs")
     again = written(_verified(docs, sets, pairs, rule), "checked")
     of = connected_components(checked.where("linked").select("a", "b").union(again.where("linked").select("a", "b")))
