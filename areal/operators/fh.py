@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from areal.functions.special import normal_tail
-from areal.sources.tables import TableError, check_area_table
+from areal.sources.tables import TableError, check_area_table, settled
 
 LOCAL_ROWS = 200_000
 
@@ -33,6 +33,9 @@ class FayHerriot:
     covariates: tuple[str, ...] = ()
     method: str = "REML"
     n_sampled: int = 0
+    #: domain, g1 and r (array): the matrix of the leading error terms is diag(g1) + r q r'; None on the log scale.
+    error_parts: DataFrame | None = None
+    error_q: np.ndarray | None = None
 
 
 @dataclass
@@ -48,7 +51,7 @@ class Sums:
     pairs: Callable[[np.ndarray], tuple[float, float]]  # beta -> sum v^2 r^2, -2 loglik
 
 
-def _local(x: np.ndarray, y: np.ndarray, psi: np.ndarray) -> Callable[[float], Sums]:
+def local_sums(x: np.ndarray, y: np.ndarray, psi: np.ndarray) -> Callable[[float], Sums]:
     def at(s2: float) -> Sums:
         v = 1 / (psi + s2)
         gram = lambda w: (x * w[:, None]).T @ x
@@ -113,6 +116,7 @@ def fit(
     """
     if method not in ("REML", "ML") or transform not in ("none", "log") or mse_type not in ("analytical", "none"):
         raise ValueError("method is REML or ML, transform none or log, mse_type analytical or none")
+    df = settled(df)
     check_area_table(df, y, vardir, covariates, domain)
     known = F.col(y).isNotNull() & ~F.isnan(F.col(y).cast("double"))
     yv, pv = F.when(known, F.col(y).cast("double")), F.when(known, F.col(vardir).cast("double"))
@@ -128,9 +132,9 @@ def fit(
     rows = df.where(known).select((yv - F.lit(my)).alias("y"), pv.alias("psi"), F.array(*centred).alias("x"))
     if m <= local_rows:
         got = rows.toArrow()
-        at = _local(np.array(got.column("x").to_pylist()), got.column("y").to_numpy(), got.column("psi").to_numpy())
+        at = local_sums(np.array(got.column("x").to_pylist()), got.column("y").to_numpy(), got.column("psi").to_numpy())
     else:
-        at = _distributed(rows.persist(), p)
+        at = _distributed(settled(rows), p)
     gram = at(0.0).a1
     scale = np.sqrt(np.diag(gram))
     if (scale == 0).any() or np.linalg.matrix_rank(gram / np.outer(scale, scale), tol=1e-10) < p:
@@ -159,6 +163,10 @@ def fit(
         out, extra = out.withColumn("eblup", F.col("_theta")).withColumn("mse", F.col("_mse")), []
     rse = F.when(F.col("eblup") != 0, 100 * F.sqrt("mse") / F.abs("eblup"))
     estimates = out.select(F.col(domain).alias("domain"), F.col(y).alias("y"), "eblup", F.col(vardir).alias("vardir"), "random_effect", "mse", rse.alias("rse"), *extra)
+    parts = None
+    if transform == "none":
+        lead = F.when(known, shrink).otherwise(F.lit(1.0))
+        parts = df.select(F.col(domain).alias("domain"), (F.lit(s2) * lead).alias("g1"), F.array(*[lead * c for c in rows_of]).alias("r"))
     # back to covariates that aren't centred
     names = [*(["(intercept)"] if intercept else []), *covariates]
     back = np.eye(p)
@@ -171,13 +179,16 @@ def fit(
     table = [{"term": t, "beta": float(b), "std_error": float(e), "zvalue": float(b / e), "pvalue": float(normal_tail(b / e))} for t, b, e in zip(names, coef, se, strict=True)]
     loglik = -0.5 * minus2
     goodness = {"loglik": loglik, "aic": -2 * loglik + 2 * (p + 1), "bic": -2 * loglik + (p + 1) * math.log(m), "kic": -2 * loglik + 3 * (p + 1)}
-    return FayHerriot(estimates, table, s2, n_iter, converged, goodness, coef, cov, tuple(names), method, m)
+    return FayHerriot(estimates, table, s2, n_iter, converged, goodness, coef, cov, tuple(names), method, m, parts, q)
 
 
 def benchmark_covariate(df: DataFrame, y: str, vardir: str, weight: str | None = None, group: str | None = None) -> DataFrame:
     """df with z = normalised weight times vardir over sampled rows (0 elsewhere): fitted with it, the estimates add up."""
     known = F.col(y).isNotNull()
     w = F.when(known, F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)).otherwise(0.0)
-    over = Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))
-    return df.withColumn("z", w / F.sum(w).over(over) * F.coalesce(F.col(vardir), F.lit(0.0)))
-
+    df = df.withColumn("_w", w)
+    if group:
+        total = F.sum("_w").over(Window.partitionBy(group))
+    else:
+        total = F.lit(df.agg(F.sum("_w").alias("t")).first().t)
+    return df.withColumn("z", F.when(known, F.col("_w") / total * F.coalesce(F.col(vardir), F.lit(0.0))).otherwise(0.0)).drop("_w")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from areal.sources.tables import TableError
@@ -18,10 +18,14 @@ def effective_trials(df: DataFrame, y: str, vardir: str, n: str, group: str | No
     """
     srs = F.col(y) * (1 - F.col(y)) / F.col(n)
     ok = F.coalesce(F.col(y).isNotNull() & (F.col(vardir) > 0) & (srs > 0), F.lit(False))
-    everywhere = Window.partitionBy(F.lit(0))
-    ratio = lambda w: F.sum(F.when(ok, F.col(vardir))).over(w) / F.sum(F.when(ok, srs)).over(w)
-    grouped = ratio(Window.partitionBy(group)) if group else ratio(everywhere)
-    out = df.withColumns({"_g": grouped, "_o": ratio(everywhere), "_own": F.when(ok, F.col(vardir) / srs)})
+    ratio = F.sum(F.when(ok, F.col(vardir))) / F.sum(F.when(ok, srs))
+    overall = F.lit(df.agg(ratio.alias("o")).first().o).cast("double")
+    if group:
+        pooled = df.groupBy(F.col(group).alias("_key")).agg(ratio.alias("_g"))
+        df = df.join(pooled, F.col(group).eqNullSafe(F.col("_key")), "left").drop("_key")
+    else:
+        df = df.withColumn("_g", overall)
+    out = df.withColumns({"_o": overall, "_own": F.when(ok, F.col(vardir) / srs)})
     deff, source = F.coalesce("_g", "_o"), F.when(F.col("_g").isNull(), "overall").otherwise("group")
     if method == "area":
         if deff_fallback:

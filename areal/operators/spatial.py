@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from areal.functions.special import chi2_tail, normal_tail
+from areal.sources.tables import TableError
 
 
-def moran(values: DataFrame, edges: DataFrame, key: str = "domain", value: str = "y") -> DataFrame:
+def moran(values: DataFrame, edges: DataFrame, key: str = "domain", value: str = "y", floor: float = 1e-10) -> DataFrame:
     """One row: n, moran_i, expected, variance (randomisation) and z. Edges to areas without a value are left out, weights are not restyled."""
     rows = values.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
     mean = rows.agg(F.avg("v").alias("m"))
@@ -28,7 +29,7 @@ def moran(values: DataFrame, edges: DataFrame, key: str = "domain", value: str =
     a = n * ((n * n - 3 * n + 3) * F.col("s1") - n * F.col("s2") + 3 * s0 * s0)
     b = b2 * ((n * n - n) * F.col("s1") - 2 * n * F.col("s2") + 6 * s0 * s0)
     expected = -1 / (n - 1)
-    variance = F.greatest((a - b) / ((n - 1) * (n - 2) * (n - 3) * s0 * s0) - expected * expected, F.lit(1e-10))
+    variance = F.greatest((a - b) / ((n - 1) * (n - 2) * (n - 3) * s0 * s0) - expected * expected, F.lit(floor))
     i = n / s0 * F.col("num") / F.col("zz")
     return one.select(n.cast("long").alias("n"), i.alias("moran_i"), expected.alias("expected"), variance.alias("variance"), ((i - expected) / F.sqrt(variance)).alias("z"))
 
@@ -58,8 +59,26 @@ def lagrange(areas: DataFrame, edges: DataFrame, key: str = "domain", y: str = "
     return one.select(((F.col("ewe") / F.col("s2")) ** 2 / F.col("t")).alias("lm_error"), ((F.col("ewy") / F.col("s2")) ** 2 / (F.col("t") + F.col("mwf") / F.col("s2"))).alias("lm_lag"))
 
 
-def spatial_test(areas: DataFrame, edges: DataFrame, key: str = "domain", y: str = "y", x: str = "x", alternative: str = "greater") -> dict:
-    """Statistics and p-values of Moran's I on y and on residuals, LM-error and LM-lag."""
+def likelihood_ratio(areas: DataFrame, edges: DataFrame, y: str, vardir: str, covariates: list[str], key: str = "domain") -> dict:
+    """Fay-Herriot against its spatial extension, both by maximum likelihood: rho = 0 lies inside the larger model, so chi-square with one degree."""
+    from areal.operators import area_models, fh
+
+    plain = fh.fit(areas, y, vardir, covariates, key, method="ML", mse_type="none")
+    larger = area_models.spatial(areas, edges, y, vardir, covariates, key, method="ML", mse_type="none")
+    statistic = max(0.0, 2 * (larger.goodness["loglik"] - plain.goodness["loglik"]))
+    return {
+        "loglik_fh": plain.goodness["loglik"], "loglik_sfh": larger.goodness["loglik"], "statistic": statistic, "pvalue": chi2_tail(statistic, 1), "delta_aic": larger.goodness["aic"] - plain.goodness["aic"],
+        "delta_bic": larger.goodness["bic"] - plain.goodness["bic"], "rho": larger.params["rho"], "sigma2_fh": plain.sigma2_u, "sigma2_sfh": larger.params["sigma2_u"],
+    }
+
+
+def spatial_test(areas: DataFrame, edges: DataFrame, key: str = "domain", y: str = "y", x: str = "x", vardir: str | None = None, alpha: float = 0.05, alternative: str = "greater") -> dict:
+    """Statistics and p-values of Moran's I on y and on residuals, LM-error, LM-lag and, with direct variances, the likelihood ratio; and a decision.
+
+    One test decides, so that its level is alpha: the likelihood ratio, or LM-error without direct variances. At least five sampled areas.
+    """
+    if areas.where(F.col(y).isNotNull()).limit(5).count() < 5:
+        raise TableError("fewer than five sampled areas")
     out = {}
     for name, rows, value in (("moran_y", areas, y), ("moran_residuals", ols_residuals(areas, key, y, x), "e")):
         m = moran(rows, edges, key, value).first()
@@ -68,4 +87,8 @@ def spatial_test(areas: DataFrame, edges: DataFrame, key: str = "domain", y: str
         out[name] = {"statistic": m.moran_i, "z": m.z, "pvalue": {"greater": upper, "less": 1 - upper, "two.sided": two}[alternative]}
     lm = lagrange(areas, edges, key, y, x).first()
     out |= {k: {"statistic": lm[k], "pvalue": chi2_tail(lm[k], 1) if not math.isnan(lm[k]) else None} for k in ("lm_error", "lm_lag")}
-    return out
+    if vardir:
+        out["lrt"] = likelihood_ratio(areas, edges, y, vardir, [x], key)
+    by = "lrt" if vardir else "lm_error"
+    spatial = out[by]["pvalue"] is not None and out[by]["pvalue"] < alpha
+    return out | {"decision": {"test": by, "spatial": spatial, "model": "spatial Fay-Herriot" if spatial else "Fay-Herriot"}}

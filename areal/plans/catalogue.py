@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areal.operators import area_models, bhf, compare, direct, fh, prep, spatial, stepwise, weights
+from areal.operators import area_models, bhf, compare, fh, prep, report, simulate, spatial, stepwise, weights
 from areal.operators.benchmark import benchmark
+from areal.operators.hb import models as hb
 from areal.plans import sql
 from areal.sources import tables
 
@@ -32,7 +33,7 @@ def rounded(df: DataFrame, **digits: int) -> DataFrame:
 
 
 def _estimates(fit: fh.FayHerriot) -> DataFrame:
-    return rounded(fit.estimates.select("domain", "eblup", "random_effect", "mse", "rse"), eblup=5, random_effect=5, mse=4, rse=4)
+    return rounded(fit.estimates.select("domain", "eblup", "random_effect", "mse", "rse"), eblup=5, random_effect=5, mse=4, rse=4).withColumn("random_effect", F.col("random_effect") + 0.0)
 
 
 def _unsampled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +103,7 @@ def fh_log(spark, sf_dir):
     return rounded(fit.estimates.select("domain", "eblup", "eblup_log", "mse_log", "mse"), eblup=5, eblup_log=6, mse_log=7, mse=5)
 
 
-@query()
+@query(f"with recursive {sql.AREA_LAG.replace('area as', 'area0 as')}, area as (select *, n / (select sum(n) from area0) * vardir as z from area0), " + sql.fay_herriot_many(["x", "z"]) + sql.ESTIMATE)
 def fh_selfbench(spark, sf_dir):
     area = fh.benchmark_covariate(tables.area_lag(spark, sf_dir), "y", "vardir", "n")
     return _estimates(fh.fit(area, "y", "vardir", ["x", "z"]))
@@ -136,7 +137,14 @@ def gvf_cvpower(spark, sf_dir):
     return _gvf(spark, sf_dir, "cv_power")
 
 
-@query()
+_GAMMA = f"""with recursive {sql.AREA_LAG}, g as (select vardir as v, ln(n) as x from area where vardir > 0), c as (select avg(x) as mx from g),
+it(k, a, b) as (select 0, avg(ln(v)) - regr_slope(ln(v), x - mx) * 0, regr_slope(ln(v), x - mx) from g, c
+  union all select k + 1, a + avg(r) - regr_slope(r, z) * avg(z), b + regr_slope(r, z) from (select k, a, b, v / exp(a + b * (x - mx)) - 1 as r, x - mx as z from it, g, c where k < 80) group by k, a, b),
+f as (select a, b, mx from it, c order by k desc limit 1)
+select domain, round(case when vardir = 0 then 0 else exp(a + b * (ln(n) - mx)) end, 6) as vardir_smooth from area, f"""
+
+
+@query(_GAMMA)
 def gvf_gamma(spark, sf_dir):
     return _gvf(spark, sf_dir, "gamma_glm")
 
@@ -168,9 +176,65 @@ def weights_region(spark, sf_dir):
     return _region_edges(spark, sf_dir)
 
 
+def _ring_edges(spark, sf_dir):
+    return weights.styled(weights.ring(tables.read(spark, sf_dir, "nation"), "n_nationkey"), "W")
+
+
 @query("select n_nationkey as src, (n_nationkey + s) % 25 as dst, 0.5::double as w from nation, (values (1), (24)) t(s)")
 def weights_ring(spark, sf_dir):
-    return weights.styled(weights.ring(tables.read(spark, sf_dir, "nation"), "n_nationkey"), "W")
+    return _ring_edges(spark, sf_dir)
+
+
+_GRID = "g as (select n_nationkey as k, n_nationkey // 5 as r, n_nationkey % 5 as c from nation), e as (select a.k as src, b.k as dst from g a join g b on abs(a.r - b.r) + abs(a.c - b.c) = 1)"
+
+
+def _grid(spark, sf_dir):
+    k = F.col("n_nationkey")
+    areas = tables.read(spark, sf_dir, "nation").select(k.alias("k"), F.floor(k / 5).cast("int").alias("r"), (k % 5).cast("int").alias("c"))
+    return weights.grid(areas, "k", "r", "c")
+
+
+@query(f"with {_GRID} select src, dst, 1.0::double as w from e")
+def weights_rook(spark, sf_dir):
+    return _grid(spark, sf_dir)
+
+
+@query("with g as (select n_nationkey as k, n_nationkey // 5 as r, n_nationkey % 5 as c from nation) select a.k as src, b.k as dst, round(1.0::double * 25 / 144, 10) as w from g a join g b on greatest(abs(a.r - b.r), abs(a.c - b.c)) = 1")
+def weights_queen_c(spark, sf_dir):
+    k = F.col("n_nationkey")
+    areas = tables.read(spark, sf_dir, "nation").select(k.alias("k"), F.floor(k / 5).cast("int").alias("r"), (k % 5).cast("int").alias("c"))
+    return rounded(weights.styled(weights.grid(areas, "k", "r", "c", queen=True), "C"), w=10)
+
+
+@query(f"with {_GRID} select src, dst, round(1.0::double / (select count(*) from e), 10) as w from e")
+def weights_u(spark, sf_dir):
+    return rounded(weights.styled(_grid(spark, sf_dir), "U"), w=10)
+
+
+@query(f"with {_GRID} select src, dst, round(1.0::double / (4 * cos(pi() / 6)), 8) as w from e")
+def weights_minmax(spark, sf_dir):
+    return rounded(weights.styled(_grid(spark, sf_dir), "minmax"), w=8)
+
+
+@query("with recursive pts as (select n_nationkey as k, (n_nationkey * 7 % 11)::double as a, (n_nationkey * 5 % 13)::double as b from nation), d as (select s.k as src, t.k as dst, sqrt((s.a-t.a)**2 + (s.b-t.b)**2) as d from pts s join pts t on s.k <> t.k), e as (select src, dst from d where d <= 2.5), near as (select src, arg_min(dst, (d, dst)) as dst from d where src not in (select src from e) group by src) select distinct src, dst, 1.0::double as w from (select * from e union all select * from near union all select dst, src from near)")
+def weights_islands(spark, sf_dir):
+    points = _points(spark, sf_dir)
+    return weights.islands_joined(weights.distance(points, "k", ["a", "b"], 2.5), points, "k", ["a", "b"])
+
+
+@query("select a.n_nationkey as src, b.n_nationkey as dst, 1.0::double as w from nation a join nation b on abs(a.n_nationkey - b.n_nationkey) = 7")
+def weights_symmetric(spark, sf_dir):
+    """One-way neighbours seven keys on, made mutual."""
+    n = tables.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"))
+    listed = n.withColumn("near", F.when(F.col("k") + 7 < 25, F.array(F.col("k") + 7)))
+    return weights.symmetric(weights.from_neighbours(listed, "k", "near"))
+
+
+@query("select n_nationkey as k, n_nationkey % 7 as component from nation")
+def weights_components(spark, sf_dir):
+    n = tables.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"))
+    listed = n.withColumn("near", F.when(F.col("k") + 7 < 25, F.array(F.col("k") + 7)))
+    return weights.components(weights.from_neighbours(listed, "k", "near"), n, "k")
 
 
 _POINTS = "pts as (select n_nationkey as k, (n_nationkey * 7 % 11)::double as a, (n_nationkey * 5 % 13)::double as b from nation), d as (select s.k as src, t.k as dst, sqrt((s.a-t.a)**2 + (s.b-t.b)**2) as d from pts s join pts t on s.k <> t.k)"
@@ -226,16 +290,20 @@ def lm_tests(spark, sf_dir):
 
 
 _BENCH = sql.LAG_FH + """, t as (select region, sum(n*y)/sum(n) + 1 as target from area group by region),
-b as (select est.*, n / sum(n) over (partition by region) as w, target from est join t using (region)),
-o as (select *, sum(w*eblup) over (partition by region) as own, sum(w*w*greatest(mse, 1e-8)) over (partition by region) as sm from b),
+b as (select est.*, n / sum(n) over (partition by region) as w, target, s2 * coalesce(bb, 1) as g1, coalesce(bb, 1) as ra, coalesce(bb, 1) * (x - mx) as rb from est join t using (region)),
+d as (select *, sqrt(greatest(g1 + q00*ra*ra + 2*q01*ra*rb + q11*rb*rb, 2.220446049250313e-16)) as d from b),
+e as (select *, sqrt(mse) * w / d as v from d),
+u as (select *, sum(ra*v) over (partition by region) as sa, sum(rb*v) over (partition by region) as sb from e),
+o as (select *, sqrt(mse) / d * (g1*v + ra*(q00*sa + q01*sb) + rb*(q01*sa + q11*sb)) as mw, sum(w*eblup) over (partition by region) as own, sum(w*w*greatest(mse, 1e-8)) over (partition by region) as sm from u),
 k as (select *, {new} as new, {k} as kk from o)
-select domain, region, round(eblup, 5) as original, round(new, 5) as benchmarked, round(target, 5) as target, round(greatest(mse - 2*kk*w*mse + (new-eblup)**2, 0), 4) as mse_benchmarked from k"""
+select domain, region, round(eblup, 5) as original, round(new, 5) as benchmarked, round(target, 5) as target, round(greatest(mse - 2*kk*mw + (new-eblup)**2, 0), 4) as mse_benchmarked from k"""
 
 
 def _bench(spark, sf_dir, method):
-    rows = _with_region(spark, sf_dir)
-    target = tables.area_lag(spark, sf_dir).groupBy("region").agg((F.sum(F.col("n") * F.col("y")) / F.sum("n") + 1).alias("target"))
-    out = benchmark(rows, "eblup", target, "n", "region", method, mse="mse")
+    area, fit = _lag_fit(spark, sf_dir)
+    rows = fit.estimates.join(area.select("domain", "region", "n"), "domain")
+    target = area.groupBy("region").agg((F.sum(F.col("n") * F.col("y")) / F.sum("n") + 1).alias("target"))
+    out = benchmark(rows, "eblup", target, "n", "region", method, mse="mse", fit=fit)
     return rounded(out.select("domain", "region", "original", "benchmarked", "target", "mse_benchmarked"), original=5, benchmarked=5, target=5, mse_benchmarked=4)
 
 
@@ -254,7 +322,16 @@ def bench_optimal(spark, sf_dir):
     return _bench(spark, sf_dir, "optimal")
 
 
-@query()
+_LOGIT = f"""with recursive {sql.SHARE}, r as (select domain, region, n, y from prop where y > 0 and y < 1),
+t as (select region, sum(n * y) / sum(n) * 1.05 as target from r group by region), w as (select r.*, n / sum(n) over (partition by region) as w, ln(y / (1 - y)) as l from r),
+it(k, region, lo, hi) as (select 0, region, -50.0::double, 50.0::double from t
+  union all select k + 1, region, case when s < target then (lo + hi) / 2 else lo end, case when s < target then hi else (lo + hi) / 2 end
+  from (select k, region, lo, hi, any_value(target) as target, sum(w / (1 + exp(-(l + (lo + hi) / 2)))) as s from it join w using (region) join t using (region) where k < 70 group by k, region, lo, hi)),
+a as (select region, (lo + hi) / 2 as a from it where k = 70)
+select domain, region, round(y, 8) as original, round(1 / (1 + exp(-(l + a))), 8) as benchmarked, round(target, 8) as target from w join a using (region) join t using (region)"""
+
+
+@query(_LOGIT)
 def bench_logit(spark, sf_dir):
     rows = tables.area_share(spark, sf_dir).where("y > 0 and y < 1")
     target = rows.groupBy("region").agg((F.sum(F.col("n") * F.col("y")) / F.sum("n") * 1.05).alias("target"))
@@ -334,20 +411,57 @@ def _units(spark, sf_dir):
     return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("domain"), F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 1000).alias("y"), (F.col("c_acctbal") / 1000).alias("x"))
 
 
-_UNITS = "u as (select c_nationkey as domain, o_orderkey as id, o_totalprice/1000 as y, c_acctbal/1000 as x from orders join customer on o_custkey = c_custkey), s as (select * from u where id % 3 <> 0)"
+_UNITS = "s as (select c_nationkey as domain, o_totalprice/1000 as y, c_acctbal/1000 as x from orders join customer on o_custkey = c_custkey)"
 
 
 @query(f"with {_UNITS} select domain, count(*) as n, round(avg(y),6) as y_mean, round(avg(x),6) as x_mean from s group by domain")
 def bhf_suffstats(spark, sf_dir):
-    stats, _ = bhf.domain_statistics(_units(spark, sf_dir).where("id % 3 <> 0"), "domain", "y", ["x"])
+    stats, _ = bhf.domain_statistics(_units(spark, sf_dir), "domain", "y", ["x"])
     return rounded(stats.select("domain", "n", "y_mean", F.col("x_mean")[0].alias("x_mean")), y_mean=6, x_mean=6)
 
 
-@query()
+def _survey(spark, sf_dir):
+    """Suppliers are the units, with a planted area effect; all customers are the population, whose balances are known on average."""
+    s, c = tables.read(spark, sf_dir, "supplier"), tables.read(spark, sf_dir, "customer")
+    units = s.select(F.col("s_nationkey").alias("domain"), (F.col("s_acctbal") / 1000).alias("x"), (2 + 0.3 * F.col("s_acctbal") / 1000 + 1.5 * F.sin(F.col("s_nationkey").cast("double")) + (F.col("s_suppkey") % 7) / 7.0).alias("y"))
+    pop = c.groupBy(F.col("c_nationkey").alias("domain")).agg((F.count("*") * 10).alias("pop_n"), F.avg(F.col("c_acctbal") / 1000).alias("x"))
+    # nations with suppliers but no customer belong to the population as well
+    more = units.groupBy("domain").agg((F.count("*") * 10).alias("pop_n"), F.avg("x").alias("x")).join(pop, "domain", "left_anti")
+    return units, pop.unionByName(more)
+
+
+_BHF = """with recursive s as (select s_nationkey as domain, s_acctbal/1000 as x, 2 + 0.3*s_acctbal/1000 + 1.5*sin(s_nationkey::double) + (s_suppkey % 7) / 7.0::double as y from supplier),
+p0 as (select c_nationkey as domain, count(*) * 10 as pop_n, avg(c_acctbal / 1000) as x from customer group by c_nationkey),
+p as (select * from p0 union all select domain, count(*) * 10, avg(x) from s where domain not in (select domain from p0) group by domain),
+m as (select avg(x) as mx, avg(y) as my, count(*) as n from s),
+d as (select domain, count(*)::double as n, avg(x) - any_value(mx) as x, avg(y) - any_value(my) as y, covar_pop(x, x) * count(*) as wxx, covar_pop(x, y) * count(*) as wxy, covar_pop(y, y) * count(*) as wyy from s, (select mx, my from m) group by domain),
+w as (select sum(wxx) as txx, sum(wxy) as txy, sum(wyy) as tyy from d),
+it(k, lo, hi) as (
+  select 0, ln(1e-8), ln(1e8)
+  union all
+  select k + 1, greatest(lo, best - step), least(hi, best + step) from (
+    select k, lo, hi, step, arg_max(e, ll) as best from (
+      select k, lo, hi, step, e, -0.5 * ((any_value(m.n) - 2) * ln(any_value(tyy) + sum(g*y*y) - (b0*sum(g*y) + b1*(any_value(txy) + sum(g*x*y)))) + sum(ln(1 + d.n*exp(e))) + ln(det)) as ll from (
+        select *, (axx*cy - ax*cxy) / det as b0, (a*cxy - ax*cy) / det as b1 from (
+          select *, a*axx - ax*ax as det from (
+            select k, lo, hi, step, e, sum(g) as a, sum(g*x) as ax, any_value(txx) + sum(g*x*x) as axx, sum(g*y) as cy, any_value(txy) + sum(g*x*y) as cxy, list({'n': d.n, 'g': g, 'x': x, 'y': y}) as rows from (
+              select it.k, it.lo, it.hi, (it.hi - it.lo) / 64 as step, it.lo + (it.hi - it.lo) * i / 64 as e, d.*, d.n / (1 + d.n * exp(it.lo + (it.hi - it.lo) * i / 64)) as g from it, range(0, 65) r(i), d where it.k < 14) d, (select txx, txy from w) group by k, lo, hi, step, e))) z, (select unnest(z.rows) as u), (select u.n as n, u.g as g, u.x as x, u.y as y) d, (select txy, tyy from w), m
+      group by k, lo, hi, step, e, b0, b1, det) group by k, lo, hi, step)),
+f as (select exp((lo + hi) / 2) as gamma from it order by k desc limit 1),
+c as (select gamma, (axx*cy - ax*cxy) / (a*axx - ax*ax) as b0, (a*cxy - ax*cy) / (a*axx - ax*ax) as b1 from (select any_value(gamma) as gamma, sum(g) as a, sum(g*x) as ax, any_value(txx) + sum(g*x*x) as axx, sum(g*y) as cy, any_value(txy) + sum(g*x*y) as cxy from (select gamma, d.x, d.y, n / (1 + n*gamma) as g from d, f), (select txx, txy from w)))
+select p.domain, round(my + b0 + b1*(p.x - mx) + coalesce(d.n / p.pop_n * (d.y - b0 - b1*d.x) + (1 - d.n / p.pop_n) * gamma * d.n / (1 + d.n*gamma) * (d.y - b0 - b1*d.x), 0), 5) as eblup, coalesce(d.n, 0)::bigint as samp_size from p left join d on d.domain = p.domain, c, (select mx, my from m)"""
+
+
+@query(_BHF)
 def bhf_eblup(spark, sf_dir):
-    u = _units(spark, sf_dir)
-    pop = u.groupBy("domain").agg(F.count("*").alias("pop_n"), F.avg("x").alias("x"))
-    return bhf.fit(u.where("id % 3 <> 0"), pop, "domain", "y", ["x"]).estimates
+    units, pop = _survey(spark, sf_dir)
+    return rounded(bhf.fit(units, pop, "domain", "y", ["x"]).estimates.select("domain", "eblup", "samp_size"), eblup=5)
+
+
+@query()
+def bhf_bootstrap(spark, sf_dir):
+    units, pop = _survey(spark, sf_dir)
+    return bhf.fit(units, pop, "domain", "y", ["x"], mse_type="bootstrap", replicates=60).estimates.select("domain", "eblup", "mse", "rse")
 
 
 @query()
@@ -357,7 +471,14 @@ def sfh_eblup(spark, sf_dir):
 
 @query()
 def sfh_bootstrap(spark, sf_dir):
-    return area_models.bootstrap(tables.area_lag(spark, sf_dir), _region_edges(spark, sf_dir), "y", "vardir", ["x"], replicates=40)
+    fit = area_models.spatial(tables.area_planted(spark, sf_dir), _ring_edges(spark, sf_dir), "y", "vardir", ["x"], mse_type="pbmse", replicates=40)
+    return fit.estimates.select("domain", "mse", "mse_pb", "mse_pbbc")
+
+
+@query()
+def sfh_resampled(spark, sf_dir):
+    fit = area_models.spatial(tables.area_planted(spark, sf_dir), _ring_edges(spark, sf_dir), "y", "vardir", ["x"], mse_type="npbmse", replicates=40)
+    return fit.estimates.select("domain", "mse", "mse_npb", "mse_npbbc")
 
 
 def _panel(spark, sf_dir):
@@ -378,6 +499,12 @@ def _two_fold(spark, sf_dir):
     return rows.where("vardir > 0")
 
 
+@query()
+def stfh_bootstrap(spark, sf_dir):
+    fit = area_models.spatio_temporal(_panel(spark, sf_dir), _region_edges(spark, sf_dir), "y", "vardir", ["x"], model="S", mse_type="bootstrap", replicates=16)
+    return fit.estimates.select("domain", "time", "eblup", "mse")
+
+
 @query()
 def twofold_sub(spark, sf_dir):
     return area_models.two_fold(_two_fold(spark, sf_dir), "y", "vardir", ["x"]).estimates
@@ -389,10 +516,149 @@ def twofold_area(spark, sf_dir):
 
 
 @query()
+def twofold_bootstrap(spark, sf_dir):
+    return area_models.two_fold(_two_fold(spark, sf_dir), "y", "vardir", ["x"], weight="n", mse_type="bootstrap", replicates=40).df_area
+
+
+_STEP = f"with recursive {sql.AREA_LAG.replace('area as', 'area0 as')}, area as (select *, sin(domain::double) as k from area0)" + "".join("," + sql.fay_herriot_many(c, "ML", p) for c, p in ((["x", "k"], "a3_"), (["x"], "a1_"), (["k"], "a2_"), ([], "a0_"))) + """,
+models as (select 3 as mask, aic from a3_aic union all select 1, aic from a1_aic union all select 2, aic from a2_aic union all select 0, aic from a0_aic),
+moves as (select a.mask as src, case when (a.mask // bit) % 2 = 1 then '- ' else '+ ' end || name as action, case when (a.mask // bit) % 2 = 1 then a.mask - bit else a.mask + bit end as dst from models a, (values (1, 'x'), (2, 'k')) t(bit, name)),
+path(step, mask, action, aic) as (
+  select 0, 3, 'start', (select aic from models where mask = 3)
+  union all
+  select step + 1, best.dst, best.action, best.aic from (select step, aic, arg_min({'dst': dst, 'action': act, 'aic': value}, (value, act)) as best from (
+    select p.step, p.aic, m.dst, m.action as act, n.aic as value from path p join moves m on m.src = p.mask join models n on n.mask = m.dst) group by step, aic) where best.aic < aic)
+select step, action, round(aic, 5) as aic from path"""
+
+
+@query(_STEP)
 def step_fh(spark, sf_dir):
     area = tables.area_lag(spark, sf_dir).withColumn("k", F.sin(F.col("domain").cast("double")))
     _, path = stepwise.step(area, "y", "vardir", ["x", "k"])
-    return spark.createDataFrame([(i, a, float(v)) for i, (a, v) in enumerate(path)], "step int, action string, aic double")
+    return spark.createDataFrame([(i, a, round(float(v), 5)) for i, (a, v) in enumerate(path)], "step int, action string, aic double")
+
+
+@query()
+def spatial_decision(spark, sf_dir):
+    found = spatial.spatial_test(tables.area_planted(spark, sf_dir), _ring_edges(spark, sf_dir), vardir="vardir")
+    return spark.createDataFrame([(k, float(found[k]["statistic"]), float(found[k]["pvalue"])) for k in ("moran_y", "moran_residuals", "lm_error", "lm_lag", "lrt")] + [(f"decision: {found['decision']['model']}", None, None)], "test string, statistic double, pvalue double")
+
+
+@query(sql.LAG_FH + """select domain, round(y - eblup, 5) as residual, round(case when vardir > mse then (y - eblup) / sqrt(vardir - mse) end, 5) as std_residual, round(vardir / mse, 5) as eff_ratio from est""")
+def diagnose_residuals(spark, sf_dir):
+    return rounded(compare.residual_table(_lag_fit(spark, sf_dir)[1].estimates).select("domain", "residual", "std_residual", "eff_ratio"), residual=5, std_residual=5, eff_ratio=5)
+
+
+@query(sql.LAG_FH + """select round(avg(100*(eblup-y)/y), 5) as mean_rb, round(avg(abs(100*(eblup-y)/y)), 5) as mean_abs_rb, round(100*sqrt(avg((eblup-y)**2))/avg(abs(y)), 5) as rrmse from est""")
+def diagnose_simulation(spark, sf_dir):
+    area, fit = _lag_fit(spark, sf_dir)
+    return rounded(compare.simulation_metrics(fit.estimates, area.select("domain", F.col("y").alias("truth"))).select("mean_rb", "mean_abs_rb", "rrmse"), mean_rb=5, mean_abs_rb=5, rrmse=5)
+
+
+@query()
+def class_probability(spark, sf_dir):
+    return compare.class_probabilities(_lag_fit(spark, sf_dir)[1].estimates, [55.0, 60.0, 65.0]).select("domain", "est_class", "prob_class")
+
+
+@query(sql.LAG_FH + """, e as (select *, sqrt(mse) as se from est) select domain, round(eblup, 5) as eblup, round(eblup - 1.96*se, 5) as ci_lower, round(eblup + 1.96*se, 5) as ci_upper, case when 100*se/abs(eblup) <= 25 then 'reliable' when 100*se/abs(eblup) <= 50 then 'caution' else 'unreliable' end as reliability from e""")
+def export_estimates(spark, sf_dir):
+    sheet = report.sheets(_lag_fit(spark, sf_dir)[1])["Estimates"]
+    return sheet.select("domain", "eblup", "ci_lower", "ci_upper", "reliability")
+
+
+@query(sql.LAG_FH + """select n_name, indicator, round(case indicator when 'estimate' then eblup else 100*sqrt(mse)/abs(eblup) end, 4) as value from nation join est on domain = n_nationkey, (values ('estimate'), ('rse')) t(indicator)""")
+def map_estimates(spark, sf_dir):
+    estimates = _lag_fit(spark, sf_dir)[1].estimates
+    table = report.map_table(tables.read(spark, sf_dir, "nation"), estimates, {"estimate": F.col("eblup"), "rse": F.col("rse")}, "n_nationkey")
+    return rounded(table.select("n_name", "indicator", "value"), value=4)
+
+
+@query(sql.LAG_FH + """select domain, series, round(value, 4) as value, round(low, 4) as low, round(high, 4) as high from (select domain, 'direct' as series, y as value, y - 1.96*sqrt(vardir) as low, y + 1.96*sqrt(vardir) as high from est union all select domain, 'model', eblup, eblup - 1.96*sqrt(mse), eblup + 1.96*sqrt(mse) from est)""")
+def plot_ribbon(spark, sf_dir):
+    return rounded(report.ribbon_table(_lag_fit(spark, sf_dir)[1].estimates), value=4, low=4, high=4)
+
+
+@query("with c as (select c_nationkey % 4 as grp, floor((c_custkey % 100) / 100.0 * 5)::int as bin from customer) select g.i::int as grp, b.j::int as bin, count(c.grp) as n from range(4) g(i) cross join range(5) b(j) left join c on c.grp = g.i and c.bin = b.j group by all")
+def plot_rank(spark, sf_dir):
+    c = tables.read(spark, sf_dir, "customer")
+    return report.rank_table(c.select((F.col("c_nationkey") % 4).alias("grp"), ((F.col("c_custkey") % 100) / 100.0).alias("value")), 5, 4)
+
+
+_HB = f"""with recursive {sql.AREA_LAG}, sc as (select stddev_samp(y) as sc from area), g as (select exp(ln(sc) - 9 + 12.0 * i / 3000) as s, ln(sc) - 9 + 12.0 * i / 3000 as t, sc from range(0, 3001) r(i), sc),
+v as (select g.s, g.t, g.sc, 1 / (vardir + g.s * g.s) as v, x, y, vardir from g, area),
+m as (select s, any_value(t) as t, any_value(sc) as sc, 0.001 + sum(v) as a, sum(v*x) as ax, 0.001 + sum(v*x*x) as axx, sum(v*y) as cy, sum(v*x*y) as cxy, sum(v*y*y) as yy, sum(ln(v)) as lv from v group by s),
+q as (select *, a*axx - ax*ax as det from m),
+l as (select *, (axx*cy - ax*cxy) / det as b0, (a*cxy - ax*cy) / det as b1, 0.5*lv - 0.5*ln(det) - 0.5*(yy - (cy*(axx*cy - ax*cxy) + cxy*(a*cxy - ax*cy)) / det) - s*s / (2*sc*sc) + t as ll from q),
+w as (select *, exp(ll - max(ll) over ()) as u from l), z as (select *, u / sum(u) over () as p from w),
+e as (select domain, p, b0 + b1*x + s*s / (vardir + s*s) * (y - b0 - b1*x) as mu, vardir*s*s / (vardir + s*s) + (vardir / (vardir + s*s))**2 * (axx - 2*ax*x + a*x*x) / det as var from area, z)
+select domain, round(sum(p*mu), 2) as hb, round(sqrt(sum(p*(var + mu*mu)) - sum(p*mu)**2), 2) as sd from e group by domain"""
+
+
+@query(_HB)
+def hb_gaussian(spark, sf_dir):
+    found = hb.hb_area(tables.area_lag(spark, sf_dir), "y", ["x"], vardir="vardir")
+    return rounded(found.estimates.select("domain", "hb", "sd"), hb=2, sd=2)
+
+
+def _hb_columns(found):
+    return found.estimates.select("domain", "hb", "sd", "ci_lower", "ci_upper")
+
+
+@query()
+def hb_besag(spark, sf_dir):
+    return _hb_columns(hb.hb_area(tables.area_lag(spark, sf_dir), "y", ["x"], vardir="vardir", spatial="besag", edges=_region_edges(spark, sf_dir)))
+
+
+@query()
+def hb_bym2_binomial(spark, sf_dir):
+    area = tables.area_share(spark, sf_dir).withColumn("cases", F.round(F.col("y") * F.col("n"))).withColumn("x", F.sin(F.col("domain").cast("double")))
+    return _hb_columns(hb.hb_area(area, "cases", ["x"], family="binomial", trials="n", spatial="bym2", edges=_ring_edges(spark, sf_dir)))
+
+
+@query()
+def hb_beta(spark, sf_dir):
+    area = tables.area_share(spark, sf_dir).where("y > 0 and y < 1").withColumn("x", F.sin(F.col("domain").cast("double")))
+    return _hb_columns(hb.hb_area(area, "y", ["x"], family="beta", vardir="vardir"))
+
+
+@query()
+def hb_spacetime(spark, sf_dir):
+    panel = _panel(spark, sf_dir)
+    found = hb.hb_area(panel, "y", ["x"], time="time", vardir="vardir", spatial="leroux", temporal="ar1", edges=_region_edges(spark, sf_dir))
+    return found.estimates.select("domain", "time", "hb", "sd")
+
+
+@query()
+def hb_units(spark, sf_dir):
+    units, pop = _survey(spark, sf_dir)
+    return hb.hb_unit(units, pop, "domain", "y", ["x"], "pop_n").estimates.select("domain", "hb", "sd", "samp_size")
+
+
+@query()
+def hb_subareas(spark, sf_dir):
+    return hb.hb_twofold(_two_fold(spark, sf_dir), "y", ["x"], vardir="vardir", weight="n").df_area
+
+
+@query()
+def hb_shares(spark, sf_dir):
+    area = tables.area_share(spark, sf_dir).withColumns({"cases": F.round(F.col("y") * F.col("n")), "x": F.sin(F.col("domain").cast("double")), "parent": F.lit(0.4) + F.col("domain") / 100})
+    return hb.hb_ratio(area, "cases", ["x"], "n", "parent", benchmark_target=0.11).estimates.select("domain", "hb", "sd", "ratio")
+
+
+@query()
+def hb_benchmarked(spark, sf_dir):
+    found = hb.hb_area(tables.area_lag(spark, sf_dir), "y", ["x"], vardir="vardir", benchmark_weight="n", benchmark_target={"": 61.0})
+    return _hb_columns(found)
+
+
+@query()
+def simulated_areas(spark, sf_dir):
+    return simulate.area_data(spark)
+
+
+@query()
+def simulated_series(spark, sf_dir):
+    return simulate.series_data(spark)
 
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared checkpoint folder: what is read again and again doesn't go back to the units."""
+    if getattr(df, "_settled", False):
+        return df
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="areal-"))
+    out = df.checkpoint()
+    out._settled = True
+    return out
+
+
 def check_area_table(df: DataFrame, y: str, vardir: str, covariates: list[str], domain: str | None = None) -> None:
     """NULL covariates, and direct variances that aren't positive where y is known, are errors; NULL y is not."""
     missing = [c for c in [y, vardir, *covariates, *([domain] if domain else [])] if c not in df.columns]
@@ -46,17 +62,17 @@ def area_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     direct = direct_means(nation_of_units(spark, sf_dir), "domain", "lag", ["quantity"]).withColumnRenamed("mean_quantity", "x")
     nation = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("domain"), F.col("n_regionkey").alias("region"))
-    return direct.join(nation, "domain")
+    return settled(direct.join(nation, "domain"))
 
 
 def area_planted(spark: SparkSession, sf_dir: str, effect: float = 1.5, shift: float = 0.0) -> DataFrame:
     """One row per nation: mean customer balance (thousands) with a planted area effect; x is the share of one segment."""
     c = read(spark, sf_dir, "customer")
     b = F.col("c_acctbal") / 1000
-    return c.groupBy(F.col("c_nationkey").alias("domain")).agg(
+    return settled(c.groupBy(F.col("c_nationkey").alias("domain")).agg(
         F.count("*").alias("n"), (F.avg(b) + effect * F.sin(F.col("c_nationkey").cast("double")) + shift).alias("y"), (F.var_samp(b) / F.count("*")).alias("vardir"),
         F.avg(F.when(F.col("c_mktsegment") == "BUILDING", 1.0).otherwise(0.0)).alias("x"),
-    )
+    ))
 
 
 def area_share(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,4 +81,4 @@ def area_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     c = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("domain"), (F.col("c_mktsegment") == "BUILDING").alias("hit"))
     nation = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("domain"), F.col("n_regionkey").alias("region"))
-    return direct_proportions(c, "domain", "hit").join(nation, "domain")
+    return settled(direct_proportions(c, "domain", "hit").join(nation, "domain"))

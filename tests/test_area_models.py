@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from areal.functions.special import chi2_tail, normal_tail
-from areal.operators import fh, mixed, prep
+import dense_mixed as mixed
+from areal.operators import fh, prep
 from areal.operators.benchmark import benchmark
 from areal.sources.tables import TableError
 
