@@ -1,5 +1,8 @@
 """A training corpus from `documents`: toxic ones go, one of each group of near copies stays, secrets are masked, sources are mixed
-to target weights, and what is left is encoded."""
+to target weights, and what is left is encoded.
+
+Every stage takes rows with nulls in any column, repeated rows, empty and very long texts, empty tables and further columns, which it
+leaves out."""
 
 from __future__ import annotations
 
@@ -17,6 +20,8 @@ REJECT_FROM = 0.5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text scores below REJECT_FROM stay; the model is fitted on the folder's labels. A null text scores as an empty one, and
+    repeated rows share their fate. Rows at the threshold go."""
     return toxicity.keep_ordinary(docs.select(*COLUMNS), toxicity.model_for(spark, sf_dir), REJECT_FROM)
 
 
@@ -35,16 +40,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows stay; n_chars is that of the masked text. Null texts stay null and keep their n_chars."""
     return secrets.redact(docs).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy in the mix."""
+    """A row for each copy in the mix, by words. Null languages and sources are children of their own; texts without words come along with their
+    neighbours in the seeded order; of rows equal in id and text, as many as fit are taken."""
     mixed = mixing.mix(docs, mixing.Plan(budget_permille=1000)).where("copies > 0")
     return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_pieces and round_trip of every row. Null and empty texts have no ids."""
     return sentencepiece.encode_documents(docs, queries.vocabulary_path(queries.PIECE_BPE))
 
 
