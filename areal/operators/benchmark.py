@@ -52,7 +52,7 @@ def _checked(rows: DataFrame, groups: DataFrame, method: str, weight: str | None
     """Weights that aren't positive, targets that are missing or infinite, aggregates near 0 for ratios and values outside (0, 1) for logits are errors."""
     wrong = lambda c: F.coalesce(c, F.lit(True))
     t = F.col("_t")
-    found = rows.agg(F.count_if(wrong(~(F.col("_raw") > 0) | (F.col("_raw") == float("inf")))).alias("w"), F.count_if(wrong(F.isnan(t))).alias("t"), F.count_if(wrong(~((t > 0) & (t < 1)))).alias("p")).first()
+    found = rows.agg(F.count_if(wrong(~(F.col("_raw") > 0) | (F.col("_raw") == float("inf")))).alias("w"), F.count_if(t.isNull() | F.isnan(t)).alias("t"), F.count_if(wrong(~((t > 0) & (t < 1)))).alias("p")).first()
     if weight and found.w:
         raise TableError(f"{found.w} rows have a weight that is not positive")
     if found.t:
