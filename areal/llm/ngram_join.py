@@ -362,3 +362,20 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     return every.select("doc_id", "node", F.col("n").alias("n_shingles")).join(classes, "node", "left").select(
         "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
+
+
+def sql(rule: Rule) -> str:
+    """The same for DuckDB, from all pairs of documents that share an n-gram: for small tables."""
+    n, p = rule.words, rule.percent
+    return rf"""
+with recursive d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct r, case when len(w) < {n} then array_to_string(w, ' ') else array_to_string(w[i:i + {n - 1}], ' ') end as g from (select r, w, unnest(range(1, greatest(len(w) - {n - 1}, 1) + 1)) as i from d where len(w) > 0)),
+k as (select r, count(*) as n, md5(string_agg(g, chr(10) order by g)) as h from s group by r),
+c as (select h, min(r) as r, any_value(n) as n from k group by h),
+o as (select a.r as a, b.r as b, count(*) as m from s a join s b on a.g = b.g and a.r < b.r where a.r in (select r from c) and b.r in (select r from c) group by a.r, b.r),
+e as (select a, b from o join c x on x.r = a join c y on y.r = b where 100 * m >= {p} * (x.n + y.n - m)),
+both_ways as (select a, b from e union all select b, a from e),
+reach(a, b) as (select r, r from c union select reach.a, x.b from reach join both_ways x on x.a = reach.b),
+class as (select reach.a as r, min(m.doc_id) as component_id from reach join c on c.r = reach.b join (select h, min(doc_id) as doc_id from k join d using (r) group by h) m on m.h = c.h group by reach.a)
+select d.doc_id, coalesce(k.n, 0)::bigint as n_shingles, case when k.r is null then d.doc_id else class.component_id end as component_id
+from d left join k using (r) left join c on c.h = k.h left join class on class.r = c.r"""

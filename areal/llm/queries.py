@@ -14,6 +14,7 @@ WORD_BPE = "word_bpe_49k.json"
 PIECE_BPE = "piece_bpe_32k.model"
 TOXIC_FROM = 0.3
 TOKEN_LIMIT = 2048
+COPIES = ngram_join.Rule(words=3, percent=90)
 
 
 def vocabulary_path(name: str) -> str:
@@ -31,7 +32,7 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.link(read(spark, sf_dir, "documents"), ngram_join.Rule(words=3, percent=90))
+    return ngram_join.link(read(spark, sf_dir, "documents"), COPIES)
 
 
 def op4_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express the operator on the given tables (whose pages hold no redirects or canonical links)."""
-    return {"op1_quality_rules": quality.SQL, "op2_url_filters": url_filter.SQL, "op6_mixing": mixing.SQL}
+    return {"op1_quality_rules": quality.SQL, "op2_url_filters": url_filter.SQL, "op3_ngram_jaccard_join": ngram_join.sql(COPIES), "op6_mixing": mixing.SQL}
