@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -192,3 +192,48 @@ def benchmark_covariate(df: DataFrame, y: str, vardir: str, weight: str | None =
     else:
         total = F.lit(df.agg(F.sum("_w").alias("t")).first().t)
     return df.withColumn("z", F.when(known, F.col("_w") / total * F.coalesce(F.col(vardir), F.lit(0.0))).otherwise(0.0)).drop("_w")
+
+
+#: Groups that can be benchmarked within the model, as each is a coefficient.
+MOST_BENCHMARKS = 200
+
+
+def self_benchmarked(
+    df: DataFrame, y: str, vardir: str, covariates: list[str], domain: str = "domain", weight: str | None = None, group: str | None = None, target: float | dict | None = None, **how,
+) -> tuple[FayHerriot, DataFrame]:
+    """A fit whose estimates of sampled rows add up, by weight, to a target in each group; and a table of groups.
+
+    A covariate for each group, normalised weight times vardir, makes weighted sums of residuals vanish; y is moved first by the distance of the
+    direct aggregate from the target (by default there is none). Rows without y get no weight; NULL weights count as 0, negative ones and
+    groups whose weights add up to 0 are errors. The table: group, direct, target, shift, benchmarked.
+    """
+    df = settled(df)
+    known = F.col(y).isNotNull() & ~F.isnan(F.col(y).cast("double"))
+    key = F.coalesce(F.col(group).cast("string"), F.lit("")) if group else F.lit("All")
+    own = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
+    rows = df.withColumns({"_g": key, "_w": F.when(known, own).otherwise(0.0)})
+    sums = rows.where(known).groupBy("_g").agg(F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col(y)).alias("wy"), F.min("_w").alias("least")).orderBy("_g").limit(MOST_BENCHMARKS + 1).collect()
+    if len(sums) > MOST_BENCHMARKS:
+        raise TableError(f"{MOST_BENCHMARKS} groups at most can be benchmarked within the model")
+    if any(r.least < 0 for r in sums):
+        raise TableError("weights must not be negative")
+    if any(r.w <= 0 for r in sums):
+        raise TableError("the weights of a group's sampled rows must add up to more than 0")
+    direct = {r["_g"]: r.wy / r.w for r in sums}
+    wanted = {g: d if target is None else float(target.get(g, d)) if isinstance(target, dict) else float(target) for g, d in direct.items()}
+    shift, total = F.lit(0.0), F.lit(1.0)
+    for r in sums:
+        here = F.col("_g") == r["_g"]
+        shift = F.when(here, wanted[r["_g"]] - direct[r["_g"]]).otherwise(shift)
+        total = F.when(here, r.w).otherwise(total)
+    z = F.col("_w") / total * F.when(known, F.col(vardir).cast("double")).otherwise(0.0)
+    names = [f"_z{i}" for i in range(len(sums))]
+    columns = {n: F.when(F.col("_g") == r["_g"], z).otherwise(0.0) for n, r in zip(names, sums, strict=True)}
+    moved = rows.withColumns({**columns, "_shift": F.when(known, shift)}).withColumn(y, F.when(known, F.col(y) + F.col("_shift")).otherwise(F.col(y)))
+    found = fit(moved, y, vardir, [*covariates, *names], domain, **how)
+    back = found.estimates.drop("y").join(df.select(F.col(domain).alias("domain"), F.col(y).alias("y")), "domain").select(*found.estimates.columns)
+    found = replace(found, estimates=back)
+    at = rows.select(F.col(domain).alias("domain"), "_g", (F.col("_w") / total).alias("_w")).join(back.select("domain", "eblup"), "domain")
+    schema = "group string, direct double, target double, shift double"
+    table = df.sparkSession.createDataFrame([(g, d, wanted[g], wanted[g] - d) for g, d in direct.items()], schema)
+    return found, table.join(at.groupBy(F.col("_g").alias("group")).agg(F.sum(F.col("_w") * F.col("eblup")).alias("benchmarked")), "group")

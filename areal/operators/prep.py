@@ -37,15 +37,19 @@ def effective_trials(df: DataFrame, y: str, vardir: str, n: str, group: str | No
     return out.withColumns({"deff": F.when(seen, deff), "deff_source": F.when(seen, source), "trials": F.when(seen, F.col(n) / deff)}).drop("_g", "_o", "_own")
 
 
-def gvf_smooth(df: DataFrame, y: str, vardir: str, n: str | None = None, method: str = "log_linear", bias_correction: bool = True) -> tuple[DataFrame, dict]:
-    """df with vardir_smooth from a generalised variance function, and the fit (coefficients, residual variance).
+def gvf_smooth(df: DataFrame, y: str, vardir: str, n: str | None = None, method: str = "log_linear", bias_correction: bool = True, terms_of: list[str] | None = None) -> tuple[DataFrame, dict]:
+    """df with vardir_smooth from a generalised variance function, and the fit (coefficients, residual variance, R2: of deviance for gamma_glm).
 
     log_linear: ln vardir on ln y (and ln n) by least squares; gamma_glm: the same predictors, gamma errors and a log link;
-    cv_power: ln(vardir / y^2) on ln y (and ln n). Fitted on rows with positive values; at least three are needed. A prediction
+    cv_power: ln(vardir / y^2) on ln y (and ln n). terms_of: columns that take the place of these predictors, as they are. Fitted on rows with positive values; at least three are needed. A prediction
     that can't be made stays NULL, but is 0 where vardir is 0.
     """
     use = F.col(vardir) > 0
     terms = [F.log(F.col(y).cast("double"))] + ([F.log(F.col(n).cast("double"))] if n else [])
+    if terms_of:
+        terms = [F.col(c).cast("double") for c in terms_of]
+        for c in terms_of:
+            use = use & F.col(c).isNotNull()
     use = use & (F.col(y) > 0) & (F.col(n) > 0 if n else F.lit(True))
     target = F.log(F.col(vardir) / F.col(y) ** 2) if method == "cv_power" else F.log(F.col(vardir))
     rows = df.where(use)
@@ -70,11 +74,19 @@ def gvf_smooth(df: DataFrame, y: str, vardir: str, n: str | None = None, method:
             if done:
                 break
         correction, s2 = 1.0, None
+        mu = F.exp(line(b))
+        null = rows.agg(F.avg(vardir).alias("m")).first().m
+        dev = rows.agg(F.sum((F.col(vardir) - mu) / mu - F.log(F.col(vardir) / mu)).alias("d"), F.sum(F.col(vardir) / null - 1 - F.log(F.col(vardir) / null)).alias("n")).first()
+        r2 = 1 - dev.d / dev.n if dev.n else None
     else:
         b = normal(F.lit(1.0), target)
-        s2 = rows.agg(F.sum((target - line(b)) ** 2).alias("rss")).first().rss / (mean.k - p) if mean.k > p else 0.0
+        left = rows.agg(F.sum((target - line(b)) ** 2).alias("rss"), F.sum((target - F.lit(mean.mt)) ** 2).alias("tss")).first()
+        s2 = left.rss / (mean.k - p) if mean.k > p else 0.0
+        r2 = 1 - left.rss / left.tss if left.tss else None
         correction = float(np.exp(s2 / 2)) if bias_correction else 1.0
     defined = (F.col(y) > 0) & (F.col(n) > 0 if n else F.lit(True))
+    for c in terms_of or []:
+        defined = defined & F.col(c).isNotNull()
     smooth = F.exp(line(b)) * correction * (F.col(y) ** 2 if method == "cv_power" else F.lit(1.0))
     out = df.withColumn("vardir_smooth", F.when(F.col(vardir) == 0, 0.0).otherwise(F.when(defined, smooth)))
-    return out, {"coef": b.tolist(), "centres": [mean[f"m{i}"] for i in range(p - 1)], "s2": s2, "rows": mean.k}
+    return out, {"coef": b.tolist(), "centres": [mean[f"m{i}"] for i in range(p - 1)], "s2": s2, "r2": r2, "rows": mean.k}

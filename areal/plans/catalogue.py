@@ -109,6 +109,12 @@ def fh_selfbench(spark, sf_dir):
     return _estimates(fh.fit(area, "y", "vardir", ["x", "z"]))
 
 
+@query(f"with recursive {sql.AREA_LAG.replace('area as', 'area0 as')}, t as (select sum(n) as n, 61.0::double - sum(n*y)/sum(n) as d from area0), area as (select domain, y + d as y, vardir, x, area0.n / t.n * vardir as z from area0, t), " + sql.fay_herriot_many(["x", "z"]) + "select domain, round(eblup, 5) as eblup, round(mse, 4) as mse from est")
+def fh_selfbench_target(spark, sf_dir):
+    fit, _ = fh.self_benchmarked(tables.area_lag(spark, sf_dir), "y", "vardir", ["x"], weight="n", target=61.0)
+    return rounded(fit.estimates.select("domain", "eblup", "mse"), eblup=5, mse=4)
+
+
 _TIERS = "case when rse <= 25 then 'reliable' when rse <= 50 then 'caution' when rse > 50 then 'unreliable' end"
 
 
