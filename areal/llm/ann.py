@@ -8,6 +8,11 @@ r mod m + 1 substrings), so a query that probes all values that near, in every s
 radius. Those are ranked by their float vectors. The radius is measured: it holds the wanted share of the true neighbours
 of a bounded number of queries, found by brute force over all rows. Queries that find fewer than k rows probe again with a wider one.
 
+A query meets its rows in many ranges, in tasks that don't know of each other; were each to return its k best, what they return would follow the
+number of ranges times that of queries. So probing begins with a part of the rows of bounded size, then takes one `growth` times as large and so on up to
+all. What a query has found in one part is a floor for the next: rows below its k-th best score can't be among the k best, since those
+are met again. So a query gets about growth * k rows a part, and what is found is the same.
+
 Index entries are dealt out by (substring, first bits of its value), and a query goes to those values' ranges only that hold
 a value near enough. Large ranges and large sets of queries are split further, so that a task's share is bounded.
 """
@@ -36,6 +41,9 @@ class Settings:
     #: Entries of a range, and queries that meet them, in one task's table.
     part_rows: int = 8192
     part_queries: int = 4096
+    #: Rows of the first part that is probed for floors, at most, and how many times larger the next ones are.
+    first_rows: int = 1024
+    growth: int = 4
 
 
 @dataclass(frozen=True)
@@ -172,13 +180,17 @@ def _entries(rows: DataFrame, plan: Plan, turn: np.ndarray, dim: int, probes: bo
                     if plan.reach(j) >= 0:
                         row, sub, at = [*row, r], [*sub, np.full(len(r), j, np.int32)], [*at, a.astype(np.int32)]
                 chosen = part.take(pa.array(np.concatenate(row)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sub)), pa.array(np.concatenate(at)), *chosen.columns], names=["j", "range", "vec_id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sub)), pa.array(np.concatenate(at)), *chosen.columns], names=["j", "range", *part.schema.names])
 
-    return rows.select("vec_id", "v").mapInArrow(dealt, f"j int, range int, vec_id long, v {dict(rows.dtypes)['v']}")
+    kept = rows.select("vec_id", "v", *["floor"] * probes)
+    return kept.mapInArrow(dealt, f"j int, range int, vec_id long, v {dict(rows.dtypes)['v']}" + ", floor double" * probes)
 
 
-def _probed(rows: DataFrame, queries: DataFrame, plan: Plan, turn: np.ndarray, dim: int, settings: Settings) -> DataFrame:
-    """query_id, vec_id and score: every row within the radius of a query's code, but for those that k better ones in its range's part beat."""
+def _met(rows: DataFrame, queries: DataFrame, plan: Plan, turn: np.ndarray, dim: int, settings: Settings) -> DataFrame:
+    """query_id, vec_id and score: every row within the radius of a query's code that reaches its floor, but for those that k better ones in its range's part beat.
+
+    queries: vec_id, v, floor (a score, or null).
+    """
     k = settings.k
     entries, probes = _entries(rows, plan, turn, dim, False), _entries(queries, plan, turn, dim, True)
     sizes = entries.groupBy("j", "range").agg(F.count("*").alias("n")).join(probes.groupBy("j", "range").agg(F.count("*").alias("q")), ["j", "range"])
@@ -188,7 +200,7 @@ def _probed(rows: DataFrame, queries: DataFrame, plan: Plan, turn: np.ndarray, d
     salt = lambda of: F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     left = entries.join(near, ["j", "range"]).withColumn("pa", salt("a")).withColumn("pb", every("b")).select("j", "range", "pa", "pb", "vec_id", "v")
-    right = probes.join(near, ["j", "range"]).withColumn("pb", salt("b")).withColumn("pa", every("a")).select("j", "range", "pa", "pb", "vec_id", "v")
+    right = probes.join(near, ["j", "range"]).withColumn("pb", salt("b")).withColumn("pa", every("a")).select("j", "range", "pa", "pb", "vec_id", "v", "floor")
 
     def met(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
@@ -197,29 +209,55 @@ def _probed(rows: DataFrame, queries: DataFrame, plan: Plan, turn: np.ndarray, d
             j = key[0].as_py()
             ids, v = left.column("vec_id").to_numpy(), _matrix(left.column("v"), dim)
             bits = signs(v, turn)
-            code, value = packed(bits), values(bits, plan)
+            code, value = np.ascontiguousarray(packed(bits).T), np.ascontiguousarray(values(bits, plan).T)
             q_ids, q_v = right.column("vec_id").to_numpy(), _matrix(right.column("v"), dim)
+            floor = right.column("floor").fill_null(-np.inf).to_numpy()
             q_bits = signs(q_v, turn)
             q_code, q_value = packed(q_bits), values(q_bits, plan)
             for x in range(len(q_ids)):
-                at = np.flatnonzero(np.bitwise_count(value[:, j] ^ q_value[x, j]) <= plan.reach(j))  # what the probes hit
-                at = at[np.bitwise_count(code[at] ^ q_code[x]).sum(axis=1, dtype=np.int32) <= plan.radius]
+                at = np.flatnonzero(np.bitwise_count(value[j] ^ q_value[x, j]) <= plan.reach(j))  # what the probes hit
+                far = np.zeros(len(at), np.int32)
+                for word, own in zip(code, q_code[x], strict=True):
+                    far += np.bitwise_count(word[at] ^ own)
+                at = at[far <= plan.radius]
                 for earlier in range(j):  # a pair counts in the first substring where it meets
                     if len(at):
-                        at = at[np.bitwise_count(value[at, earlier] ^ q_value[x, earlier]).astype(np.int32) > plan.reach(earlier)]
+                        at = at[np.bitwise_count(value[earlier, at] ^ q_value[x, earlier]).astype(np.int32) > plan.reach(earlier)]
                 if len(at):
                     got, scores = best(ids[at], v[at], q_ids[x], q_v[x], k)
-                    out.append((np.full(len(got), q_ids[x]), got, scores))
+                    n = int((scores >= floor[x]).sum())  # best first
+                    out.append((np.full(n, q_ids[x]), got[:n], scores[:n]))
         if not out:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
         return pa.table([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], names=names)
 
     by = ["j", "range", "pa", "pb"]
-    hits = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(met, "query_id long, vec_id long, score double")
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(met, "query_id long, vec_id long, score double")
+
+
+def _ranked(hits: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
 
 
+def _probed(rows: DataFrame, queries: DataFrame, plan: Plan, turn: np.ndarray, dim: int, settings: Settings) -> DataFrame:
+    """query_id, rank, vec_id and score: the k best rows within the radius of a query's code."""
+    step, left = 1, rows.count()
+    while left > settings.first_rows:
+        step, left = step * settings.growth, left // settings.growth
+    asked = queries.select("vec_id", "v").withColumn("floor", F.lit(None).cast("double"))
+    while step > 1:
+        part = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(step)) == 0)
+        few = replace(plan, lead=max(0, plan.lead - int(np.log2(step))))  # as many ranges as a part needs
+        found = _ranked(_met(part, asked, few, turn, dim, settings), settings.k).where(f"rank = {settings.k}")
+        # a larger part holds this one, so that floors only rise
+        floors = found.select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+        earlier, asked = asked, written(queries.select("vec_id", "v").join(floors, "vec_id", "left"), "asked")
+        dropped(earlier)
+        step //= settings.growth
+    return _ranked(_met(rows, asked, plan, turn, dim, settings), settings.k)
+
+
 def visits(plan: Plan, sample: np.ndarray, turn: np.ndarray) -> float:
     """The share of all rows that the probes of a query hit, each hit in each substring counted: over 1 where probing costs more than a scan."""
     value = values(signs(sample, turn), plan)
