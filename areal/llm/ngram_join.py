@@ -155,13 +155,26 @@ def _census(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
 
 
 def boundary(slots: np.ndarray, sizes: np.ndarray, rule: Rule) -> int:
-    """The size from which sets are heavy: below it, subsets cost no more than list entries and their scanning."""
-    total = float(slots.sum(dtype=np.int64))
-    length = float((slots.astype(np.float64) ** 2).sum()) / total - total / SLOTS if total else 0.0  # of an element's list, on average
+    """The size from which sets are heavy: below it, subsets cost no more than list entries and their scanning.
+
+    A set enters the lists of its rarest elements only, so the length of a list is that of the rarest elements, as many of all as the prefix
+    is of a set, less what other elements add to a slot. (The average list grows with the table, and with it the sets that would be
+    light and their subsets.)
+    """
+    count, times = np.unique(slots, return_counts=True)
+    count = count.astype(np.float64)
+    mass = np.cumsum(count * times)  # elements in slots of at most so many
+    scanned = np.cumsum(count * count * times)
+    total = mass[-1]
+
+    def length(a: int) -> float:
+        upto = min(np.searchsorted(mass, total * rule.prefix(a) / a), len(mass) - 1)
+        return max(0.0, scanned[upto] / mass[upto] - total / SLOTS) if mass[upto] else 0.0
+
     best, best_cost, cost = 1, 0.0, 0.0
     for a in range(1, LIGHT_MOST):
         light = sum(comb(a, c) for c in rule.subset_sizes(a))
-        cost += float(sizes[a]) * (light - rule.prefix(a) * (1 + max(0.0, length)))
+        cost += float(sizes[a]) * (light - rule.prefix(a) * (1 + length(a)))
         if cost <= best_cost:
             best, best_cost = a + 1, cost
     return best
